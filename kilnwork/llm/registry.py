@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import url_filter
+from kilnwork.llm import bpe, fingerprint, url_filter
 
 #: Listed hosts and paths (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+
+def tokenizer_path(spark: SparkSession) -> str:
+    """The tokenizer's file on every machine: spark.kilnwork.tokenizer, or the installed public one."""
+    found = spark.conf.get("spark.kilnwork.tokenizer", None)
+    if found:
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,7 +50,20 @@ SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.said, 'allow') AS verdict
 FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND f.nth = 1
 """
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's token ids and of their decoding."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_documents(docs, tokenizer_path(spark), keep=["doc_id"])
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, held against its edited text's and the next document's."""
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op5_bpe": op5_bpe,
+    "op10_fingerprints": op10_fingerprints,
     "op3_url_filter": op3_url_filter,
 }
 ORACLE_SQL = {

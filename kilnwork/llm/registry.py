@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, fingerprint, url_filter
+from kilnwork.llm import bpe, fingerprint, licenses, secrets, url_filter
 
 #: Listed hosts and paths (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -61,8 +61,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's places of licence phrases and its labels."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's secrets by key pattern and by guess cost."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op6_license_scan": op6_license_scan,
+    "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
     "op3_url_filter": op3_url_filter,
 }

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kilnwork.llm.shared import bounded_batches
 from kilnwork.llm.textops import mix
 from kilnwork.session import partitions_for
 
@@ -194,6 +195,7 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     Ids are cut into ranges at approximate quantiles; each range becomes one partition (texts are moved once), and
     gets besides the first rows of the next range. Only the ranges' bounds and first ids come to the driver.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = buckets or partitions_for(rows)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.llm.shared import bounded_batches
 from kilnwork.llm.textops import ALNUM, Words, mix, slices, words
 
 #: Masks of seven words each (fixed values).
@@ -133,6 +134,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     columns are ignored. A benchmark of more than block_bytes is looked up in several passes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_equal long, first_word long, end_word long, share double"
     out = None
@@ -157,6 +159,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that overlap no item, unchanged."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     for items in _blocks(benchmark, block_bytes):
         sent = spark.sparkContext.broadcast(items)
 

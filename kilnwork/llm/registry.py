@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, fingerprint, licenses, secrets, url_filter
+from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, secrets, url_filter
 
 #: Listed hosts and paths (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -26,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that overlap, with the best stretch."""
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's host, path, longest fitting rule and verdict."""
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -72,6 +77,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op5_bpe": op5_bpe,
     "op6_license_scan": op6_license_scan,
     "op9_secret_scan": op9_secret_scan,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, secrets, url_filter
+from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, near_dedup, secrets, url_filter
 
 #: Listed hosts and paths (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,6 +55,28 @@ SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.said, 'allow') AS verdict
 FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND f.nth = 1
 """
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's set size, the smallest id of its near-duplicate group, and whether it is that one."""
+    return near_dedup.groups(_table(spark, sf_dir, "documents"), near_dedup.Settings(percent=85))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM tokens
+), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+ flat AS (SELECT doc_id, unnest(s) AS g FROM sets),
+ common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ reach AS (SELECT doc_id AS start, doc_id AS at FROM sizes UNION SELECT r.start, e.b FROM reach r JOIN both_ways e ON e.a = r.at)
+SELECT n.doc_id, n.n AS n_shingles, min(r.at) AS component_id, n.doc_id = min(r.at) AS kept
+FROM sizes n JOIN reach r ON r.start = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of their decoding."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +100,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_license_scan": op6_license_scan,
     "op9_secret_scan": op9_secret_scan,
@@ -86,4 +109,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
+    "op4_near_dedup": OP4_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, near_dedup, secrets, url_filter
+from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, near_dedup, quality, secrets, url_filter
 
 #: Listed hosts and paths (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -62,7 +62,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE tokens AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM tokens
@@ -93,6 +94,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+#: Documents of this grade, with at least this probability, pass.
+QUALITY_GRADE, QUALITY_LEAST = 1, 0.5
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's expected grade, probability of a good one, and whether it passes."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")), QUALITY_GRADE, QUALITY_LEAST)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's secrets by key pattern and by guess cost."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
@@ -103,6 +114,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_license_scan": op6_license_scan,
+    "op7_quality": op7_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
     "op3_url_filter": op3_url_filter,

@@ -7,9 +7,10 @@ agree with the probability of the sets' similarity, with concentration as good a
 ROWS coordinates give the buckets.
 
 No bucket is expanded into all its pairs. Texts of equal word sequences are one node. First, every member of a bucket
-is held against the bucket's smallest member alone; links found so give components. Then only members of different
-components within a bucket are paired, large buckets being split first by further bands that a true pair shares as
-well. Every pair is confirmed on the full sets of the texts.
+is held against the bucket's smallest member alone; links found so give components. Then members of different
+components are compared: in small buckets pair by pair, in large ones, whose families may have any size, in blocks of
+bounded size that a kernel compares by matrix products, giving only the links that join components. Every link is
+confirmed on the full sets of the texts.
 """
 
 from __future__ import annotations
@@ -37,11 +38,12 @@ class Settings:
 
     percent: int = 80
     k: int = 5
-    rows: int = 4
-    bands: int = 40
-    #: Members of a bucket that are paired at once; larger ones are split, at most ``levels`` times.
-    most_members: int = 200
-    levels: int = 2
+    #: A pair at the threshold shares no band with a probability of (1 - (percent / 100) ** rows) ** bands, here 4e-8.
+    rows: int = 6
+    bands: int = 56
+    #: Members of a bucket that are paired row by row; families of larger buckets are compared in blocks of so many rows.
+    most_members: int = 40
+    block: int = 256
     #: Rows that are broadcast at most (three longs each, about 24 MB); beyond, both sides are shuffled.
     most_broadcast: int = 500_000
 
@@ -55,6 +57,10 @@ class Settings:
             m += 1
 
 
+#: At 85 percent, where longer bands tell more apart: no shared band with a probability of 7e-8.
+AT_85 = Settings(percent=85, rows=8, bands=52)
+
+
 def sketches(values: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
     """A row of ``bins`` coordinates for each segment of distinct 64-bit values; all ones for an empty segment."""
     n = len(first) - 1
@@ -131,6 +137,51 @@ def _confirmed(s: Settings):
     return run
 
 
+def _families(s: Settings):
+    """Links between two blocks of a family, as many as join components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        column = table["text"].combine_chunks()
+        node, label, side = table["node"].to_numpy(), table["label"].to_numpy(), table["side"].to_numpy()
+        parts = [shingles(words(column.slice(a, b - a)), s.k) for a, b in slices(column)]
+        sizes = np.concatenate([np.diff(f) for _, f in parts])
+        values, inverse = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        # Runs of words of one text alone are common to none.
+        shared = np.flatnonzero(np.bincount(inverse, minlength=len(values)) > 1)
+        place = np.full(len(values), -1)
+        place[shared] = np.arange(len(shared))
+        at = place[inverse]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+        common = np.zeros((len(x), len(y)), np.float32)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        for a in range(0, len(shared), 4096):
+            low, high = np.searchsorted(at, [a, a + 4096])
+            part = np.zeros((len(sizes), 4096), np.float32)
+            part[row[low:high], at[low:high] - a] = 1
+            common += part[x] @ part[y].T
+        union = sizes[x][:, None] + sizes[y][None, :] - common
+        linked = (100 * common.astype(np.int64) >= s.percent * union.astype(np.int64)) & (label[x][:, None] != label[y][None, :])
+        over: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while over.get(c, c) != c:
+                over[c] = over.get(over[c], over[c])
+                c = over[c]
+            return c
+
+        links = []
+        for i, j in zip(*(z.tolist() for z in np.nonzero(linked)), strict=True):
+            p, q = root(int(label[x[i]])), root(int(label[y[j]]))
+            if p != q:
+                over[max(p, q)] = min(p, q)
+                links.append((int(node[x[i]]), int(node[y[j]])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 class Groups:
     """The steps over one table of documents; every step's table is in the shared folder."""
 
@@ -157,51 +208,65 @@ class Groups:
             .select("a", "b")
         )
 
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of distinct nodes; of equal texts only one goes on."""
+        wanted = stored(nodes.join(self.nodes.select("node", "h1", "h2"), "node"), "wanted")
+        texts = self.texts
+        if wanted.count() <= self.s.most_broadcast:
+            texts = texts.join(F.broadcast(wanted.select("h1").distinct()), "h1", "left_semi")
+        found = stored(texts.dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"]).select("node", "text"), "texts")
+        drop_stored(wanted)
+        return found
+
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that the full sets confirm."""
         near = stored(self._near(pairs), "pairs")
-        wanted = stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "h1", "h2"), "node"), "wanted")
-        small = wanted.count() <= self.s.most_broadcast
-        texts = self.texts
-        if small:
-            texts = texts.join(F.broadcast(wanted.select("h1").distinct()), "h1", "left_semi")
-        texts = texts.dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
-        found = stored(texts.select("node", "text"), "texts")
+        found = self._texts(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         a, b = (found.select(F.col("node").alias(c), F.col("text").alias(f"text{c}")) for c in "ab")
         both = near.join(b, "b").join(a, "a").select("a", "b", "texta", "textb")
         links = stored(both.mapInArrow(_confirmed(self.s), "a long, b long"), "confirmed")
-        for t in (near, wanted, found):
+        for t in (near, found):
             drop_stored(t)
         return links
 
     def _crossing(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of members of one bucket whose components differ. members: key, node, leader, at (the last band used)."""
-        out = None
-        members = members.join(labels, "node", "left").select("key", "at", "node", F.coalesce("label", "node").alias("label"), (F.col("node") == F.col("leader")).alias("led"))
-        for level in range(self.s.levels + 1):
-            size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("low") != F.col("high")) & (F.col("size") > 1))
-            open_ = stored(members.join(size.select("key", "size"), "key"), "open")
-            last = level == self.s.levels
-            here = (open_ if last else open_.where(F.col("size") <= self.s.most_members)).where(~F.col("led"))
-            x, y = (here.select("key", F.col("node").alias(c), F.col("label").alias(f"label{c}")) for c in "ab")
-            pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb"))).select("a", "b")
-            out = pairs if out is None else out.unionByName(pairs)
-            large = open_.where(F.col("size") > self.s.most_members)
-            if last or not large.limit(1).count():
-                return out.distinct()
-            more = large.join(self.nodes.select("node", "bands"), "node").select("key", "at", "node", "label", "led", F.posexplode("bands").alias("band", "hash")).where(F.col("band") > F.col("at"))
-            members = more.select(F.xxhash64("key", "hash").alias("key"), F.col("band").alias("at"), "node", "label", F.lit(False).alias("led"))
-        return out.distinct()
+        """Links between members of one bucket whose components differ. members: key, node, leader, size."""
+        known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "leader", "size")
+        mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        open_ = stored(known.join(mixed, "key"), "open")
+        few = open_.where((F.col("size") <= self.s.most_members) & (F.col("node") != F.col("leader")))
+        x, y = (few.select("key", F.col("node").alias(c), F.col("label").alias(f"label{c}")) for c in "ab")
+        links = self._links(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb"))).select("a", "b").distinct())
+        many = open_.where(F.col("size") > self.s.most_members)
+        if many.limit(1).count():
+            links = links.unionByName(self._blocks(many))
+        return links
+
+    def _blocks(self, many: DataFrame) -> DataFrame:
+        """Links within families, the texts that large buckets bring together, by comparing their blocks two by two."""
+        families = components(many.select(F.col("leader").alias("a"), F.col("node").alias("b"))).select("node", F.col("label").alias("family"))
+        own = many.select("node", "label").distinct().join(families, "node")
+        sizes = own.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / self.s.block).cast("int").alias("blocks"))
+        own = stored(own.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "families")
+        texts = self._texts(own.select("node"))
+        # Block b meets blocks up to itself as the second of two, and from itself on as the first.
+        meets = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda c: F.struct(F.least(c, F.col("block")).alias("first"), F.greatest(c, F.col("block")).alias("second")),
+        )
+        dealt = own.join(texts, "node").select("family", "node", "label", "text", "block", F.explode(meets).alias("m"))
+        dealt = dealt.select("family", "m.first", "m.second", "node", "label", "text", F.when(F.col("block") == F.col("m.first"), 0).otherwise(1).alias("side"))
+        return stored(dealt.groupBy("family", "first", "second").applyInArrow(_families(self.s), "a long, b long"), "family_links")
 
     def labels(self) -> DataFrame:
         """(node, label) of all nodes that have a link."""
-        banded = self.nodes.select("node", F.posexplode("bands").alias("at", "key"))
+        banded = self.nodes.select("node", F.explode("bands").alias("key"))
         leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = stored(banded.join(leaders, "key").select("key", "at", "node", "leader", "size"), "members")
+        members = stored(banded.join(leaders, "key").select("key", "node", "leader", "size"), "members")
         star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         first = self._links(star)
         labels = components(first)
-        second = self._links(self._crossing(members.where("size > 2").select("key", "at", "node", "leader"), labels))
+        second = self._crossing(members.where("size > 2"), labels)
         drop_stored(members)
         if not second.limit(1).count():
             return labels
@@ -223,7 +288,7 @@ class Groups:
         return full.unionByName(blank)
 
 
-def groups(docs: DataFrame, settings: Settings = Settings(percent=85)) -> DataFrame:
+def groups(docs: DataFrame, settings: Settings = AT_85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id among the rows that links reach, itself included; kept says whether it is the

@@ -57,7 +57,7 @@ FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND f.nth = 1
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's set size, the smallest id of its near-duplicate group, and whether it is that one."""
-    return near_dedup.groups(_table(spark, sf_dir, "documents"), near_dedup.Settings(percent=85))
+    return near_dedup.groups(_table(spark, sf_dir, "documents"), near_dedup.AT_85)
 
 
 OP4_SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, near_dedup, quality, secrets, url_filter
+from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, near_dedup, quality, secrets, toxicity, url_filter
 
 #: Listed hosts and paths (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -31,6 +31,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity, learnt from the labelled rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's host, path, longest fitting rule and verdict."""
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -117,6 +126,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
 }
 ORACLE_SQL = {

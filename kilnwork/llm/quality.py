@@ -106,6 +106,20 @@ def features(column: pa.Array) -> Features:
     return Features(np.concatenate(index)[order], np.concatenate(value)[order], np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def compact(texts: list[str | None]) -> Features:
+    """The features of many texts, a chunk at a time, with one entry for each text and feature."""
+    column = pa.array(texts, pa.string())
+    index, value, sizes = [], [], []
+    for a, b in slices(column):
+        x = features(column.slice(a, b - a))
+        row = np.repeat(np.arange(b - a), np.diff(x.first))
+        keys, where = np.unique(row << BITS | x.index, return_inverse=True)
+        index.append((keys & ((1 << BITS) - 1)).astype(np.int32))
+        value.append(np.bincount(where, weights=x.value).astype(np.float32))
+        sizes.append(np.bincount(keys >> BITS, minlength=b - a))
+    return Features(np.concatenate(index), np.concatenate(value), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -135,7 +149,7 @@ def fit(texts: list[str | None], grades: list[float], epochs: int = 120, rate: f
     weights = np.zeros(1 << BITS)
     if len(levels) < 2:
         return Model(levels, weights, np.zeros(0))
-    x = features(pa.array(texts, pa.string()))
+    x = compact(texts)
     y = np.searchsorted(levels, np.array(grades, float))
     row = np.repeat(np.arange(len(y)), np.diff(x.first))
     share = np.array([(y > k).mean() for k in range(len(levels) - 1)])

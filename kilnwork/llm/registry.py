@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, near_dedup, quality, secrets, toxicity, url_filter
+from kilnwork.llm import bpe, decontaminate, fingerprint, licenses, lm_score, near_dedup, quality, secrets, toxicity, url_filter
 
 #: Listed hosts and paths (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -113,6 +113,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")), QUALITY_GRADE, QUALITY_LEAST)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's pseudo-likelihood under a network trained on all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's secrets by key pattern and by guess cost."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
@@ -124,6 +130,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_quality": op7_quality,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
     "op2_toxicity": op2_toxicity,

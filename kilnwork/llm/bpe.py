@@ -175,47 +175,52 @@ def _batches(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (all by default) with token_ids array<int>, n_tokens long and decoded string.
+    """The ``keep`` columns (all by default) with token_ids array<int>, n_tokens long and decoded_sha256, the lowercase
+    hex digest of the decoding in UTF-8.
 
     A null or empty text has no tokens and an empty decoding. Rows, repeated ones too, each get their answer; columns
     of the input with the names of the results are replaced. ``path`` must be readable on every executor.
     """
 
-    def rows(ids: str, shown: str) -> tuple:
-        found = ids_of(ids)
-        return found, len(found), shown
+    def made(coded: list[tuple[str, str]]) -> list[pa.Array]:
+        n = _sizes(coded)
+        flat = np.fromstring(" ".join([ids for ids, _ in coded if ids]), np.int32, sep=" ") if n.any() else np.zeros(0, np.int32)
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(n), _digests([shown for _, shown in coded])]
 
-    return _mapped(docs, path, text, keep, rows, [("token_ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("decoded", T.StringType())])
+    return _mapped(docs, path, text, keep, made, [("token_ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("decoded_sha256", T.StringType())])
 
 
 def digest_documents(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """As ``encode_documents``, with n_tokens, ids_sha256 and decoded_sha256 for the ids and the decoded text."""
+    """As ``encode_documents``, with n_tokens, ids_sha256, the digest of the ids joined by spaces, and decoded_sha256."""
 
-    def rows(ids: str, shown: str) -> tuple:
-        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()
+    def made(coded: list[tuple[str, str]]) -> list[pa.Array]:
+        return [pa.array(_sizes(coded)), _digests([ids for ids, _ in coded]), _digests([shown for _, shown in coded])]
 
-    return _mapped(docs, path, text, keep, rows, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
+    return _mapped(docs, path, text, keep, made, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
 
 
-def _mapped(docs: DataFrame, path: str, text: str, keep: list[str] | None, rows, made: list[tuple[str, T.DataType]]) -> DataFrame:
+def _sizes(coded: list[tuple[str, str]]) -> np.ndarray:
+    return np.array([ids.count(" ") + 1 if ids else 0 for ids, _ in coded], np.int64)
+
+
+def _digests(texts: list[str]) -> pa.Array:
+    return pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])
+
+
+def _mapped(docs: DataFrame, path: str, text: str, keep: list[str] | None, made, fields: list[tuple[str, T.DataType]]) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    names = {n for n, _ in made}
+    names = [n for n, _ in fields]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in made])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(path)
         for batch in batches:
-            done: list[tuple] = []
             at = 0
-            for some in _batches([t or "" for t in batch.column("__text").to_pylist()]):
-                done = [rows(*x) for x in encode(some, v)]
-                columns = [batch.column(c).slice(at, len(some)) for c in kept] + [pa.array([r[i] for r in done], _ARROW[str(t.simpleString())]) for i, (_, t) in enumerate(made)]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, *names_in_order])
+            for some in _batches([t or "" for t in batch.column("_kw_text").to_pylist()]):
+                columns = [batch.column(c).slice(at, len(some)) for c in kept]
+                yield pa.RecordBatch.from_arrays(columns + made(encode(some, v)), [*kept, *names])
                 at += len(some)
 
-    names_in_order = [n for n, _ in made]
-    return docs.select(*[docs[c] for c in kept], docs[text].alias("__text")).mapInArrow(run, schema)
-
-
-_ARROW = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
+    return docs.select(*[docs[c] for c in kept], docs[text].alias("_kw_text")).mapInArrow(run, schema)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from kilnwork.plans import linking
+
+QUERIES: dict = {**linking.QUERIES}
+ORACLE_SQL: dict = {**linking.ORACLE_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnwork.plans import linking
+from kilnwork.plans import linking, search
 
-QUERIES: dict = {**linking.QUERIES}
-ORACLE_SQL: dict = {**linking.ORACLE_SQL}
+QUERIES: dict = {**linking.QUERIES, **search.QUERIES}
+ORACLE_SQL: dict = {**linking.ORACLE_SQL, **search.ORACLE_SQL}

@@ -192,16 +192,15 @@ SELECT vec_id, list_transform(range(8), lambda k: round(sqrt((CASE WHEN k = 0 TH
 
 
 def fusion_rerank(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    q = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("qb"), F.col("p_type").alias("qt"), F.col("p_size").cast("double").alias("qs"))
-    # Candidates share a query's brand or type, so the comparison follows keys.
-    keys = lambda t, b: F.explode(F.array(F.concat(F.lit("b"), b), F.concat(F.lit("t"), t))).alias("key")
-    pairs = q.select("*", keys("qt", "qb")).join(p.select("p_partkey", "p_brand", "p_type", "p_size", keys("p_type", "p_brand")), "key").where("query_id <> p_partkey").drop("key").distinct()
+    # Candidates have the query's type and are of about its size, so the comparison follows a key.
+    p = table(spark, d, "part").withColumn("band", F.floor(F.col("p_size") / 10))
+    q = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("qb"), F.col("p_name").alias("qt"), F.col("p_size").cast("double").alias("qs"), "p_type", "band")
+    pairs = q.join(p.select("p_partkey", "p_brand", "p_name", "p_size", "p_type", "band"), ["p_type", "band"]).where("query_id <> p_partkey")
     one, size = F.lit(1.0), F.col("p_size").cast("double")
     fields = pairs.select(
         "query_id", F.col("p_partkey").alias("ref_id"), F.round(F.abs(F.col("qs") - size) / 50, 6).alias("shape"), (F.col("qs") - size).alias("gap"),
         F.explode(F.array(
-            F.struct(F.lit("form").alias("grp"), S.categorical_similarity(F.split("qt", " "), F.split("p_type", " ")).alias("compat"), F.lit(0.9).alias("weight")),
+            F.struct(F.lit("form").alias("grp"), S.categorical_similarity(F.split("qt", " "), F.split("p_name", " ")).alias("compat"), F.lit(0.9).alias("weight")),
             F.struct(F.lit("ware").alias("grp"), F.when(F.col("qb") == F.col("p_brand"), 1.0).otherwise(0.12).alias("compat"), F.lit(0.7).alias("weight")),
             F.struct(F.lit("size").alias("grp"), S.diameter_similarity(F.col("qs"), size, F.lit(1.5), F.lit(0.75)).alias("compat"), F.lit(1.2).alias("weight")),
         )).alias("f"),
@@ -213,8 +212,8 @@ def fusion_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 FUSION_RERANK = """
 WITH x AS (SELECT q.p_partkey AS query_id, r.p_partkey AS ref_id, abs(q.p_size - r.p_size) / 50.0 AS sh, CAST(q.p_size - r.p_size AS DOUBLE) AS gap,
-   string_split(q.p_type, ' ') AS a, string_split(r.p_type, ' ') AS b, q.p_brand = r.p_brand AS same, q.p_size::DOUBLE AS s, r.p_size::DOUBLE AS t
-  FROM part q JOIN part r ON (q.p_brand = r.p_brand OR q.p_type = r.p_type) AND q.p_partkey <> r.p_partkey WHERE q.p_partkey % 20 = 0),
+   string_split(q.p_name, ' ') AS a, string_split(r.p_name, ' ') AS b, q.p_brand = r.p_brand AS same, q.p_size::DOUBLE AS s, r.p_size::DOUBLE AS t
+  FROM part q JOIN part r ON q.p_type = r.p_type AND q.p_size // 10 = r.p_size // 10 AND q.p_partkey <> r.p_partkey WHERE q.p_partkey % 20 = 0),
 c AS (SELECT *, round(sh, 6) AS shape, 0.12 + 0.88 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS c1, CASE WHEN same THEN 1.0 ELSE 0.12 END AS c2,
    1 / (1 + pow(abs(s - t) / greatest(6.0, 0.3 * (s + t) / 2, 2.5 * sqrt(1.5 * 1.5 + 0.75 * 0.75)), 4)) AS c3, sqrt(0.65::DOUBLE) AS r FROM x),
 k AS (SELECT *, round((0.9 * (1 - c1) + 0.7 * (1 - c2) + 1.2 * (1 - c3)) / 2.8, 6)::DOUBLE AS cost, round(2.8 * r, 6) AS strength, round(r, 6) AS coverage FROM c),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.functions import boxes as B
 from kilnwork.functions import kernels as K
 
+SIDES = ("x1", "y1", "x2", "y2")
+
 
 def reconcile(found: DataFrame, prior: DataFrame, least: float = 0.5) -> DataFrame:
     """Detections with their identities over runs.
@@ -19,32 +23,63 @@ def reconcile(found: DataFrame, prior: DataFrame, least: float = 0.5) -> DataFra
     taken. It keeps that identity, and moves the reviewed box unless that is approved or deleted. Others get ids after
     the page's highest. Prior boxes that nothing takes stay, stale if a detector made them.
 
-    Greedy matching depends on the order, so a page, which has few boxes, is one group.
+    Greedy matching depends on the order, so a page's boxes are handled together, one page after the other as they come
+    from the sort; a task holds one page at a time.
     """
-    schema = "page string, vessel_id long, x1 double, y1 double, x2 double, y2 double, confidence double, status string, source string, stale boolean, moved boolean"
-    sides = ("x1", "y1", "x2", "y2")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("ord"), right.sort_values("vessel_id")
-        a, b = left[list(sides)].to_numpy(float), right[list(sides)].to_numpy(float)
-        taken = K.greedy_boxes(a, b, ~right["source"].isin(["manual", "legacy_polygon"]).to_numpy(), least)
-        top = int(right["vessel_id"].max()) if len(right) else -1
-        rows = []
-        for i, k in enumerate(taken.tolist()):
-            box, confidence = a[i], left["confidence"].iloc[i]
-            if k < 0:
-                top += 1
-                rows.append((key[0], top, *box, confidence, "pending", "detector", False, True))
-            else:
-                old = right.iloc[k]
-                moved = old["status"] not in ("approved", "deleted")
-                rows.append((key[0], old["vessel_id"], *(box if moved else b[k]), confidence, old["status"], old["source"], False, moved))
-        for k in sorted(set(range(len(right))) - set(taken.tolist())):
-            old = right.iloc[k]
-            rows.append((key[0], old["vessel_id"], *b[k], np.nan, old["status"], old["source"], old["source"] == "detector", False))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return found.groupBy("page").cogroup(prior.groupBy("page")).applyInPandas(run, schema)
+    columns = ["page", "side", "ord", *SIDES, "confidence", "status", "source"]
+    none = F.lit(None)
+    a = found.select("page", F.lit(1).alias("side"), F.col("ord").cast("long").alias("ord"), *SIDES, "confidence", none.cast("string").alias("status"), none.cast("string").alias("source"))
+    b = prior.select("page", F.lit(0).alias("side"), F.col("vessel_id").cast("long").alias("ord"), *SIDES, none.cast("double").alias("confidence"), "status", "source")
+    both = a.unionByName(b).repartition("page").sortWithinPartitions("page", "side", "ord", *SIDES).select(*columns)
+    names = [c.split()[0] for c in _RECONCILED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _whole_pages(batches):
+            rows = [r for page in some for r in _reconciled(page, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_RECONCILED_TYPES)], names)
+
+    return both.mapInArrow(run, _RECONCILED)
+
+
+_RECONCILED = "page string, vessel_id long, x1 double, y1 double, x2 double, y2 double, confidence double, status string, source string, stale boolean, moved boolean"
+_RECONCILED_TYPES = [pa.string(), pa.int64(), *[pa.float64()] * 5, pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
+    """Lists of pages, each page's rows in order; a page may begin in one batch and end in the next."""
+    page: list[tuple] = []
+    for batch in batches:
+        done = []
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if page and page[0][0] != row[0]:
+                done.append(page)
+                page = []
+            page.append(row)
+        if done:
+            yield done
+    if page:
+        yield [page]
+
+
+def _reconciled(rows: list[tuple], least: float) -> list[tuple]:
+    """A page's detections and prior boxes after matching."""
+    prior, found = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
+    a, b = (np.array([r[3:7] for r in part], float).reshape(-1, 4) for part in (found, prior))
+    taken = K.greedy_boxes(a, b, np.array([r[9] not in ("manual", "legacy_polygon") for r in prior], bool), least)
+    top = max([r[2] for r in prior], default=-1)
+    out = []
+    for r, k in zip(found, taken.tolist(), strict=True):
+        if k < 0:
+            top += 1
+            out.append((r[0], top, *r[3:7], r[7], "pending", "detector", False, True))
+        else:
+            old = prior[k]
+            moved = old[8] not in ("approved", "deleted")
+            out.append((r[0], old[2], *(r if moved else old)[3:7], r[7], old[8], old[9], False, moved))
+    for k in sorted(set(range(len(prior))) - set(taken.tolist())):
+        old = prior[k]
+        out.append((old[0], old[2], *old[3:7], None, old[8], old[9], old[9] == "detector", False))
+    return out
 
 
 def without_overlaps(new: DataFrame, existing: DataFrame, page: str, box: str, least: float = 0.95) -> DataFrame:

@@ -91,37 +91,45 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _highest(weights: np.ndarray, bias: np.ndarray) -> float:
+    """A bound on the logits: the layer is within -1 and 1."""
+    return float((np.abs(weights).sum(axis=-1) + np.abs(bias)).max())
+
+
+def _exp(z: np.ndarray, bound: float) -> np.ndarray:
+    """exp(z) in place, up to a factor for each row where it could overflow."""
+    if bound > 60:
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
 
 
 def _forward(net: Network, context: np.ndarray, target: np.ndarray) -> tuple:
-    """Places in order of their words' classes, and for them codes, layer, and the two distributions."""
+    """Places in order of their words' classes, and for them codes, layer, and both softmaxes' numerators and sums."""
     high = target // CLASSES
     order = np.argsort(high, kind="stable")
     bounds = np.searchsorted(high[order], np.arange(CLASSES + 1))
     x = CODES[context[order]].reshape(len(order), -1)
     h = np.tanh(x @ net.inner + net.inner_bias)
-    p = _softmax(h @ net.upper.T + net.upper_bias)
+    p = h @ net.upper.T
+    p += net.upper_bias
     q = np.empty((len(order), CLASSES), np.float32)
     for c in range(CLASSES):
         a, b = bounds[c], bounds[c + 1]
         if b > a:
             np.matmul(h[a:b], net.lower[c].T, out=q[a:b])
             q[a:b] += net.lower_bias[c]
-    return order, bounds, x, h, p, _softmax(q)
+    p, q = _exp(p, _highest(net.upper, net.upper_bias)), _exp(q, _highest(net.lower, net.lower_bias))
+    return order, bounds, x, h, p, p.sum(axis=1), q, q.sum(axis=1)
 
 
 def log_probabilities(net: Network, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """ln P(word | neighbours) at each place."""
     out = np.empty(len(target))
     if len(target):
-        order, _, _, _, p, q = _forward(net, context, target)
+        order, _, _, _, p, p_sum, q, q_sum = _forward(net, context, target)
         at, t = np.arange(len(order)), target[order]
-        out[order] = np.log(np.maximum(p[at, t // CLASSES], 1e-12).astype(float)) + np.log(np.maximum(q[at, t % CLASSES], 1e-12).astype(float))
+        share = (p[at, t // CLASSES] / p_sum).astype(float) * (q[at, t % CLASSES] / q_sum)
+        out[order] = np.log(np.maximum(share, 1e-24))
     return out
 
 
@@ -139,7 +147,9 @@ class Trainer:
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net = self.net
-        order, bounds, x, h, p, q = _forward(net, context, target)
+        order, bounds, x, h, p, p_sum, q, q_sum = _forward(net, context, target)
+        p /= p_sum[:, None]
+        q /= q_sum[:, None]
         at, t = np.arange(len(order)), target[order]
         p[at, t // CLASSES] -= 1
         q[at, t % CLASSES] -= 1

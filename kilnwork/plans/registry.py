@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnwork.plans import linking, pages, search
+from kilnwork.plans import curation, linking, pages, search
 
-QUERIES: dict = {**linking.QUERIES, **search.QUERIES, **pages.QUERIES}
-ORACLE_SQL: dict = {**linking.ORACLE_SQL, **search.ORACLE_SQL, **pages.ORACLE_SQL}
+QUERIES: dict = {**linking.QUERIES, **search.QUERIES, **pages.QUERIES, **curation.QUERIES}
+ORACLE_SQL: dict = {**linking.ORACLE_SQL, **search.ORACLE_SQL, **pages.ORACLE_SQL, **curation.ORACLE_SQL}

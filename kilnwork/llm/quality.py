@@ -22,7 +22,7 @@ from kilnwork.llm.textops import SPACED, class_table, mix, powers, slices, words
 U = np.uint64
 BITS = 15
 #: Labelled rows that the fit takes at most: those with the smallest hashes of their ids.
-MOST_LABELLED = 8000
+MOST_LABELLED = 6000
 LINES = class_table("\n")
 
 
@@ -106,9 +106,8 @@ def features(column: pa.Array) -> Features:
     return Features(np.concatenate(index)[order], np.concatenate(value)[order], np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def compact(texts: list[str | None]) -> Features:
+def compact(column: pa.Array | pa.ChunkedArray) -> Features:
     """The features of many texts, a chunk at a time, with one entry for each text and feature."""
-    column = pa.array(texts, pa.string())
     index, value, sizes = [], [], []
     for a, b in slices(column):
         x = features(column.slice(a, b - a))
@@ -143,13 +142,13 @@ class Model:
         return np.ones(len(above)) if k == 0 else np.zeros(len(above)) if k == len(self.grades) else above[:, k - 1]
 
 
-def fit(texts: list[str | None], grades: list[float], epochs: int = 120, rate: float = 0.5, decay: float = 1e-6) -> Model:
+def fit(texts: list[str | None] | pa.ChunkedArray, grades: list[float], epochs: int = 120, rate: float = 0.5, decay: float = 1e-6) -> Model:
     """By AdaGrad on the whole sample in each step. Without examples of two grades the model is constant."""
     levels = np.unique(np.array(grades, float)) if grades else np.zeros(1)
     weights = np.zeros(1 << BITS)
     if len(levels) < 2:
         return Model(levels, weights, np.zeros(0))
-    x = compact(texts)
+    x = compact(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()))
     y = np.searchsorted(levels, np.array(grades, float))
     row = np.repeat(np.arange(len(y)), np.diff(x.first))
     share = np.array([(y > k).mean() for k in range(len(levels) - 1)])
@@ -175,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     bounded_batches(docs.sparkSession)
     some = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "quality", F.xxhash64("text")).limit(2 * most).toArrow()
-    return fit(found["text"].to_pylist(), [float(g) for g in found["quality"].to_pylist()])
+    return fit(found["text"], [float(g) for g in found["quality"].to_pylist()])
 
 
 def score(docs: DataFrame, model: Model, grade: float, least: float) -> DataFrame:

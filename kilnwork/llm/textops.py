@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 5
 
 

@@ -28,7 +28,7 @@ from kilnwork.llm.shared import bounded_batches
 #: Length of subsequences, and the weight of each character that they span.
 ORDER, DECAY = 3, 0.95
 #: Landmarks, and training rows of each kind: those with the smallest hashes of their ids.
-MOST_LANDMARKS, MOST_TOXIC, MOST_CLEAN = 96, 2000, 4000
+MOST_LANDMARKS, MOST_TOXIC, MOST_CLEAN = 96, 1500, 3000
 #: Longest word whose windows are compared; longer ones are cut into overlapping parts.
 LONGEST = 24
 #: Smaller kernel values count as 0.
@@ -36,7 +36,7 @@ LEAST = 0.5
 _SPELT = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _ENDS = re.compile(r"(?<=[.!?;])\s+|\n+")
 _SPELLED = str.maketrans("01345789", "oieastbg")
-_KNOWN = 400_000
+_KNOWN = 250_000
 
 
 def plain_words(sentence: str) -> list[str]:
@@ -118,13 +118,14 @@ class Matcher:
     def __getstate__(self):
         return {"landmarks": self.landmarks, "known": {}, "met": set(), "active": set(), "single": set()}
 
+    def forget(self) -> None:
+        for held in (self.known, self.met, self.active, self.single):
+            held.clear()
+
     def meet(self, tokens: set[str]) -> None:
         """Sort tokens not met before into those whose words come near a landmark and others."""
         if len(self.met) > _KNOWN:
-            self.met.clear()
-            self.active.clear()
-            self.single.clear()
-            self.known.clear()
+            self.forget()
         new = tokens - self.met
         word = {t: t if t.isalpha() else bare(t) for t in new}
         self.learn(set(word.values()) - {""})
@@ -335,7 +336,8 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     weight[near] += 1.0 / max(1, near.sum()) if near.any() else 0
     w, bias = _machine(np.array(rows) @ root, y, weight)
     model = Model(matcher, root @ w, bias, 1.0, 0.0)
-    d = np.concatenate([model.decisions(toxic), model.decisions(clean)])
+    matcher.known.clear()
+    d = np.concatenate([model.decisions(g[a : a + 250]) for g in (toxic, clean) for a in range(0, len(g), 250)])
     target = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     # Probabilities by a logistic curve through the decisions, kept from certainty by a small prior.
     slope, shift = 1.0, 0.0
@@ -347,6 +349,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         slope, shift = slope - step[0], shift - step[1]
         if np.abs(step).max() < 1e-9:
             break
+    matcher.forget()
     return Model(matcher, model.weights, bias, float(slope), float(shift))
 
 

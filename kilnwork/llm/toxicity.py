@@ -34,6 +34,8 @@ LONGEST = 24
 #: Smaller kernel values count as 0.
 LEAST = 0.5
 _SPELT = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+#: Weight of altered landmarks beside the toxic sentences.
+ALTERED = 0.05
 _ENDS = re.compile(r"(?<=[.!?;])\s+|\n+")
 _SPELLED = str.maketrans("01345789", "oieastbg")
 _KNOWN = 250_000
@@ -58,8 +60,9 @@ def plain_words(sentence: str) -> list[str]:
 
 
 def bare(token: str) -> str:
-    letters = any(map(str.isalpha, token))
-    return "".join(filter(str.isalpha, token.translate(_SPELLED) if letters else token))
+    """A token's letters; digits count as the letters they resemble in short tokens that have more letters than digits."""
+    letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+    return "".join(filter(str.isalpha, token.translate(_SPELLED) if letters > digits and len(token) <= LONGEST else token))
 
 
 def sentences(text: str) -> list[str]:
@@ -268,6 +271,8 @@ def pick_landmarks(toxic: list[str], clean: list[str], most: int = MOST_LANDMARK
         x = max(gain, key=lambda s: (gain[s], len(s), s))
         if gain[x] < least:
             break
+        # A longer string that is nearly as common says more.
+        x = max((s for s in gain if s.startswith(x) and gain[s] >= 0.85 * gain[x]), key=lambda s: (len(s), gain[s], s))
         out.append(x)
         left[holders[x]] -= 1
         holders = {y: r for y, r in holders.items() if gain[y] >= least and not (y.startswith(x) or x.startswith(y))}
@@ -329,6 +334,16 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
             rows.append(np.zeros(len(marks)))
             y.append(-1)
             weight.append(float(zero) + 1)
+    # Landmarks with one character put in, as toxic sentences of their own with a share of the weight.
+    altered = [(m[:i] + "\x7f" + m[i:], 1 / (len(m) - 1)) for m in marks for i in range(1, len(m))]
+    matcher.learn({w for w, _ in altered})
+    share_of = ALTERED * sum(w for w, label in zip(weight, y, strict=True) if label > 0) / len(marks)
+    for w, part in altered:
+        k = matcher.values([w])
+        if k is not None:
+            rows.append(k)
+            y.append(1)
+            weight.append(part * share_of)
     y, weight = np.array(y, float), np.array(weight)
     weight = np.where(y > 0, weight / max(weight[y > 0].sum(), 1), weight / weight[y < 0].sum())
     # The empty row must not outweigh the clean sentences that come near a landmark.

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from kilnwork.llm.shared import bounded_batches
 
 #: Words kept with their encodings by one Python worker.
-CACHE = 300_000
+CACHE = 200_000
 _NONE = np.int64(1) << 40
 
 
@@ -131,10 +131,14 @@ def pieces(text: str, v: Vocabulary) -> Iterator[tuple[list[str], str | None]]:
 def encode(texts: list[str], v: Vocabulary) -> list[tuple[str, str]]:
     """For each text its ids in decimal and its decoding, each joined by one space."""
     split = [list(pieces(t, v)) for t in texts]
+    here = {w for parts in split for ws, _ in parts for w in ws}
     if len(v.known) > CACHE:
-        v.known.clear()
-        v.shown.clear()
-    new = list({w for parts in split for ws, _ in parts for w in ws}.difference(v.known))
+        # Words of this batch, the common ones among them, stay.
+        for held in (v.known, v.shown):
+            kept = {w: held[w] for w in here if w in held}
+            held.clear()
+            held.update(kept)
+    new = list(here.difference(v.known))
     for at in range(0, len(new), 50_000):
         some = new[at : at + 50_000]
         for w, ids in zip(some, merge_words([w.encode() for w in some], v), strict=True):

@@ -169,6 +169,30 @@ def hausdorff95(a: np.ndarray, b: np.ndarray) -> float:
     return float(max(np.quantile(d.min(axis=1), 0.95), np.quantile(d.min(axis=0), 0.95)))
 
 
+def edge_of(mask: np.ndarray) -> np.ndarray:
+    """(row, column) of a mask's pixels with a neighbour outside."""
+    m = np.pad(mask.astype(bool), 1)
+    inner = m[:-2, 1:-1] & m[2:, 1:-1] & m[1:-1, :-2] & m[1:-1, 2:]
+    return np.argwhere(m[1:-1, 1:-1] & ~inner)
+
+
+def segmentation_metrics(found: np.ndarray, truth: np.ndarray, tolerance: float = 3.0) -> dict[str, float]:
+    """Overlap of two masks of one shape, the share of edges within a tolerance (as F1), and distances between the edges."""
+    a, b = found.astype(bool), truth.astype(bool)
+    if a.shape != b.shape:
+        raise ValueError("masks differ in shape")
+    common, union = int((a & b).sum()), int((a | b).sum())
+    out = {"iou": common / union if union else 1.0, "dice": 2 * common / (a.sum() + b.sum()) if union else 1.0}
+    p, q = edge_of(a), edge_of(b)
+    if not len(p) or not len(q):
+        return out | {"boundary_f1": float(len(p) == len(q)), "hd95": 0.0 if len(p) == len(q) else np.inf, "mean_distance": 0.0 if len(p) == len(q) else np.inf}
+    near = lambda x, y: np.concatenate([np.sqrt(((x[i : i + 512, None] - y[None]) ** 2).sum(axis=2)).min(axis=1) for i in range(0, len(x), 512)])
+    d, e = near(p, q), near(q, p)
+    precision, recall = (d <= tolerance).mean(), (e <= tolerance).mean()
+    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    return out | {"boundary_f1": float(f1), "hd95": float(max(np.quantile(d, 0.95), np.quantile(e, 0.95))), "mean_distance": float((d.mean() + e.mean()) / 2)}
+
+
 def synthetic_query(curve: np.ndarray, seed: int, coverage: float, noise: float) -> np.ndarray:
     """A part of a curve with correlated noise, turned, scaled and moved; conditions with one seed are paired."""
     rng = np.random.default_rng(seed)

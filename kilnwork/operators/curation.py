@@ -199,3 +199,50 @@ def header_expected(c: Column, main: list[str], sub: list[str]) -> Column:
     """Whether a header has four of the main headings and two of the others."""
     n = lambda ps: sum((c.rlike(f"(?i){p}").cast("int") for p in ps), F.lit(0))
     return (n(main) >= 4) & (n(sub) >= 2)
+
+
+def siblings(pages: DataFrame, source: str, index: str, image: str) -> DataFrame:
+    """(image, sibling): other images of the same source page, such as the halves of a split scan."""
+    other = pages.select(source, index, F.col(image).alias("sibling"))
+    return pages.select(source, index, image).join(other, [source, index]).where(F.col(image) != F.col("sibling")).select(image, "sibling")
+
+
+def crop_sources(crops: DataFrame, pages: DataFrame, image: str, page_image: str, source: str) -> DataFrame:
+    """Crops with the source of the page whose image name, without extension, they name."""
+    named = pages.select(X.card_stem(F.col(page_image)).alias("_stem"), source).dropDuplicates(["_stem"])
+    return crops.join(named, X.card_stem(F.col(image)) == F.col("_stem"), "left").drop("_stem")
+
+
+def staged_number(table_number: Column, drawing_number: Column) -> Column:
+    """The table's number, else the drawing's, else a question mark."""
+    some = lambda c: F.when(X.clean_text(c) != "", X.clean_text(c))
+    return F.coalesce(some(table_number), some(drawing_number), F.lit("?"))
+
+
+def query_set_faults(queries: DataFrame, targets: DataFrame, number: str, query: str, target: str, n: int) -> DataFrame:
+    """(fault, value): numbers of 1 to n that are missing or repeated, repeated queries, unknown targets, and targets with several references. Empty for a sound set."""
+    spark = queries.sparkSession
+    wanted = spark.range(1, n + 1).select(F.col("id").cast("string").alias("value"))
+    have = queries.select(F.col(number).cast("string").alias("value"))
+    fault = lambda df, name: df.select(F.lit(name).alias("fault"), "value")
+    twice = lambda df: df.groupBy("value").count().where("count > 1")
+    known = targets.select(F.col(target).cast("string").alias("value"))
+    asked = queries.select(F.col(target).cast("string").alias("value")).distinct()
+    return (
+        fault(wanted.join(have, "value", "left_anti"), "missing_number")
+        .unionByName(fault(twice(have), "repeated_number"))
+        .unionByName(fault(twice(queries.select(F.col(query).cast("string").alias("value"))), "repeated_query"))
+        .unionByName(fault(asked.join(known, "value", "left_anti"), "unknown_target"))
+        .unionByName(fault(twice(known.join(asked, "value", "left_semi")), "several_references"))
+    )
+
+
+def restorable(manifest: DataFrame, current: DataFrame, files: DataFrame, key: str, status: str, file: str, good: list[str]) -> DataFrame:
+    """Manifest entries with a reviewed status whose file exists and that the current reviews lack."""
+    return manifest.where(F.col(status).isin(good)).join(files.select(file), file, "left_semi").join(current.select(key), key, "left_anti")
+
+
+def state_totals(figures: DataFrame) -> DataFrame:
+    """Figures, and those ready, reviewed and unresolved, from link_state columns ready and review_status."""
+    done = F.col("review_status") == "approved"
+    return figures.agg(F.count(F.lit(1)).alias("figures"), F.count_if("ready").alias("ready"), F.count_if(done).alias("reviewed"), F.count_if(~done & ~F.col("ready")).alias("unresolved"))

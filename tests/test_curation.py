@@ -54,3 +54,28 @@ def test_small_ones(spark):
     new, side = C.migrated(state, "diagnostics", "key")
     assert new.columns == ["key", "version"] and rows(side) == [repr(("k", 1, "x"))]
     assert spark.range(1).select(C.canonical_field(F.lit(" Temper "))).first()[0] == "inclusions"
+
+
+def test_guards_and_sources(spark):
+    pages = spark.createDataFrame([("d", 0, "a.jpg"), ("d", 0, "b.jpg"), ("d", 1, "c.jpg")], "pdf string, i int, image string")
+    assert rows(C.siblings(pages, "pdf", "i", "image")) == sorted(map(repr, [("a.jpg", "b.jpg"), ("b.jpg", "a.jpg")]))
+    crops = spark.createDataFrame([("1", "a"), ("2", "zz")], "crop string, img string")
+    assert rows(C.crop_sources(crops, pages, "img", "image", "pdf")) == sorted(map(repr, [("1", "a", "d"), ("2", "zz", None)]))
+    q = spark.createDataFrame([(1, "q1", "t1"), (1, "q1", "t9"), (3, "q3", "t2")], "n int, q string, t string")
+    t = spark.createDataFrame([("t1",), ("t2",), ("t2",)], "t string")
+    assert rows(C.query_set_faults(q, t, "n", "q", "t", 3)) == sorted(map(repr, [("missing_number", "2"), ("repeated_number", "1"), ("repeated_query", "q1"), ("unknown_target", "t9"), ("several_references", "t2")]))
+    n = spark.createDataFrame([("1", "2"), ("", "2"), (None, "nan")], "a string, b string").select(C.staged_number(F.col("a"), F.col("b")).alias("v"))
+    assert [r.v for r in n.collect()] == ["1", "2", "?"]
+
+
+def test_segmentation():
+    import numpy as np
+
+    from kilnwork.functions import kernels as K
+
+    a = np.zeros((20, 20), bool)
+    a[5:15, 5:15] = True
+    b = np.roll(a, 1, axis=1)
+    m = K.segmentation_metrics(a, b)
+    assert m["iou"] == 90 / 110 and m["boundary_f1"] == 1 and m["hd95"] == 1 and K.segmentation_metrics(a, a)["mean_distance"] == 0
+    assert K.segmentation_metrics(a, a & False)["hd95"] == np.inf

@@ -232,8 +232,11 @@ class Groups:
     def _crossing(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Links between members of one bucket whose components differ. members: key, node, leader, size."""
         known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "leader", "size")
-        mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        open_ = stored(known.join(mixed, "key"), "open")
+        known = stored(known, "known")
+        mixed = stored(known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed")
+        # A few keys go to where their members are; a large bucket's members then stay spread.
+        open_ = stored(known.join(F.broadcast(mixed) if mixed.count() <= self.s.most_broadcast else mixed, "key"), "open")
+        drop_stored(known)
         few = open_.where((F.col("size") <= self.s.most_members) & (F.col("node") != F.col("leader")))
         x, y = (few.select("key", F.col("node").alias(c), F.col("label").alias(f"label{c}")) for c in "ab")
         links = self._links(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb"))).select("a", "b").distinct())

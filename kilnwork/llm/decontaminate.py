@@ -26,8 +26,8 @@ MASKS = ("1111111", "110110111", "1011101011", "11101001101")
 #: A stretch counts each equal word 1 and each other PENALTY; it is an overlap with the least number of equal words.
 PENALTY = 1.5
 MOST_NEEDED, LEAST_NEEDED, SHARE_NEEDED = 13, 7, 0.7
-#: Bytes of item text looked up in one pass over the documents.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text looked up in one pass over the documents; their seeds take about sixteen times as much in each Python worker.
+BLOCK_BYTES = 4 << 20
 _BITS = 22
 
 

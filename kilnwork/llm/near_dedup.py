@@ -291,6 +291,14 @@ class Groups:
         return full.unionByName(blank)
 
 
+def _of_several(rows: DataFrame, value: Column, s: Settings) -> DataFrame:
+    """(label, value, several) of labels that several rows have. They are few; a large group's rows stay where they are
+    if the table is small enough to be sent to them."""
+    out = rows.where("label is not null").groupBy("label").agg(value.alias("value"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    out = stored(out.select("label", "value", F.lit(True).alias("several")), "several")
+    return F.broadcast(out) if out.count() <= s.most_broadcast else out
+
+
 def groups(docs: DataFrame, settings: Settings = AT_85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
@@ -300,8 +308,8 @@ def groups(docs: DataFrame, settings: Settings = AT_85) -> DataFrame:
     component only where no other id is reached. Other columns are ignored.
     """
     rows = stored(Groups(docs, settings).result(), "grouped")
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    least = _of_several(rows, F.min("doc_id"), settings)
+    out = rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("several"), F.col("value")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -311,8 +319,8 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Of repeated rows one stays. Rows are told apart by doc_id and text.
     """
     rows = stored(Groups(docs, settings).result(), "grouped")
-    chosen = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "uid")).alias("first"))
-    kept = rows.join(chosen, "label", "left").withColumn("stays", F.col("label").isNull() | (F.col("uid") == F.col("first.uid")))
+    chosen = _of_several(rows, F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "uid")), settings)
+    kept = rows.join(chosen, "label", "left").withColumn("stays", F.when(F.col("several"), F.col("uid") == F.col("value.uid")).otherwise(True))
     # What goes: rows whose doc_id and text are no kept row's. Only those are named, they are fewer than what stays.
     stays = kept.groupBy("doc_id", "h1", "h2").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("copies"), F.bool_or(F.col("label").isNull()).alias("blank"))
     gone = stored(stays.where(~F.col("stays")).select(F.col("doc_id").alias("_kw_id"), F.col("h1").alias("_kw_h1"), F.col("h2").alias("_kw_h2")), "gone")

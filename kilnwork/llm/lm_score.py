@@ -2,7 +2,12 @@
 
 Words are hashed to CLASSES * CLASSES ids. For each place the network sees the SIDE words on either side, not the word
 itself: their fixed random codes, a tanh layer, and a softmax over classes and one over the ids of the word's class.
-The sum of the words' log-probabilities scores a document.
+An id's probability is shared among its words by their counts in the whole training corpus, n of a word in the id's N
+words: n / (N + 1), and 1 / (N + 1) for all words that training hasn't met. The sum of the words' log-probabilities
+scores a document.
+
+The counts are a table with a row for each distinct word. The commonest words' counts go to every task; the other
+words' places are joined with the table. Words are told apart by 64-bit hashes that take A-Z as a-z.
 
 Training reads every word of every document once in each round: each task goes through its documents from the same
 start, and the tasks' parameters are averaged, weighted by their words, in a tree of groups of FAN rows, so that no
@@ -17,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.llm.shared import bounded_batches, drop_stored, stored
@@ -29,7 +34,12 @@ STEP, RATE = 16_384, 0.08
 #: Floats in one row of parameters, and rows in one group of the averaging tree.
 BLOCK, FAN = 16_384, 64
 
+#: At most so many of the commonest words have their counts sent to every task.
+HEAD = 1 << 18
+
 _IDS = CLASSES * CLASSES
+#: Logarithms of counts are added up as whole numbers of this part, so that sums don't hang on the order of rows.
+_UNIT = 1 << 32
 _SHAPES = [("inner", (2 * SIDE * CODE, HIDDEN)), ("inner_bias", (HIDDEN,)), ("upper", (CLASSES, HIDDEN)), ("upper_bias", (CLASSES,)), ("lower", (CLASSES, CLASSES, HIDDEN)), ("lower_bias", (CLASSES, CLASSES))]
 
 
@@ -43,6 +53,16 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
+@dataclass
+class Vocabulary:
+    """Words of a corpus (hashes) and how often each is there: all that are there twice or more in ``counts`` (word, n), the commonest in ``head`` with ``gain`` = ln n; and the words of each id."""
+
+    counts: DataFrame
+    head: np.ndarray
+    gain: np.ndarray
+    total: np.ndarray
+
+
 @dataclass
 class Network:
     inner: np.ndarray
@@ -51,6 +71,8 @@ class Network:
     upper_bias: np.ndarray
     lower: np.ndarray
     lower_bias: np.ndarray
+    #: Without one, no word is known, and each has its id's probability.
+    vocabulary: Vocabulary | None = None
 
     @classmethod
     def start(cls) -> Network:
@@ -181,8 +203,36 @@ class Trainer:
             self.step(around[mixed[a : a + STEP]], ids[mixed[a : a + STEP]])
 
 
+def count_words(docs: DataFrame) -> Vocabulary:
+    """The vocabulary of all rows of ``docs`` (text)."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                found, n = np.unique(words(batch.column(0).slice(a, b - a), SPACED).hash, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    each = stored(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = np.zeros(_IDS, np.int64)
+    for r in each.groupBy(F.shiftrightunsigned("word", 64 - 12).alias("id")).agg(F.sum("n").alias("n")).collect():
+        total[r["id"] % _IDS] += r["n"]
+    # Words by eighths of powers of two of their counts: the highest steps that have HEAD words together.
+    step = F.floor(8 * F.log2("n"))
+    some, least = 0, None
+    for r in each.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        some += r["count"]
+        if some > HEAD:
+            break
+        least = r["step"]
+    head = each.where(step >= least).toArrow() if least is not None else None
+    word, n = (head[c].to_numpy() for c in ("word", "n")) if head else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(word)
+    return Vocabulary(each.where("n > 1"), word[order], np.log(n[order]), total)
+
+
 def train(docs: DataFrame, rounds: int = 1) -> Network:
-    """The network after ``rounds`` rounds over all rows of ``docs`` (text). Without words it stays at its start: every id equally likely."""
+    """The network after ``rounds`` rounds over all rows of ``docs`` (text), with their vocabulary. Without words it stays at its start: every id equally likely."""
     spark = docs.sparkSession
     bounded_batches(spark)
     net = Network.start()
@@ -201,6 +251,7 @@ def train(docs: DataFrame, rounds: int = 1) -> Network:
                 yield pa.RecordBatch.from_arrays([pa.array([task] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([t.n] * m, pa.int64()), pa.array(parts, pa.binary())], ["task", "block", "n", "part"])
 
         net = _average(docs.select("text").mapInArrow(run, "task long, block int, n long, part binary"), net)
+    net.vocabulary = count_words(docs)
     return net
 
 
@@ -240,21 +291,44 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     Null, empty and white texts have no words, a sum of 0 and a null mean. Repeated rows and null ids each get their
     answer; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    spark, v = docs.sparkSession, net.vocabulary
+    bounded_batches(spark)
+    none = np.zeros(0, np.int64)
+    sent = spark.sparkContext.broadcast((Network.of(net.flat()), *((v.head, v.gain, np.log1p(v.total)) if v else (none, np.zeros(0), np.zeros(_IDS)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, head, gain, loss = sent.value
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 w = words(batch.column(1).slice(a, b - a), SPACED)
                 ids = ids_of(w)
                 around = contexts(ids, w.first)
-                each = np.concatenate([log_probabilities(sent.value, around[x : x + STEP], ids[x : x + STEP]) for x in range(0, len(ids), STEP)] or [np.zeros(0)])
+                each = np.concatenate([log_probabilities(plain, around[x : x + STEP], ids[x : x + STEP]) for x in range(0, len(ids), STEP)] or [np.zeros(0)])
+                each -= loss[ids]
+                word = w.hash.view(np.int64)
+                rare = np.ones(len(word), bool)
+                if len(head):
+                    at = np.minimum(np.searchsorted(head, word), len(head) - 1)
+                    rare = head[at] != word
+                    each += np.where(rare, 0.0, gain[at])
                 total = np.concatenate([[0.0], np.cumsum(each)])
                 s = total[w.first[1:]] - total[w.first[:-1]]
                 n = w.counts
                 s[n == 0] = 0
-                mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(s), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                before = np.concatenate([[0], np.cumsum(rare)])[w.first]
+                keys = key + np.arange(b - a)
+                key += b - a
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(s), pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(word[rare]))], ["key", "doc_id", "n_tokens", "s", "rare"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, s double, rare array<long>")
+    if v is None:
+        return _answers(rows, F.col("s"))
+    rows = stored(rows, "scores")
+    # A word met once adds ln 1, one not met nothing: both are left out of the join.
+    gains = rows.select("key", F.explode("rare").alias("word")).join(v.counts, "word").groupBy("key").agg(F.sum(F.round(F.ln("n") * _UNIT).cast("long")).alias("more"))
+    return _answers(rows.drop("rare").join(gains, "key", "left"), F.col("s") + F.coalesce(F.col("more"), F.lit(0)) / _UNIT)
+
+
+def _answers(rows: DataFrame, total: Column) -> DataFrame:
+    return rows.select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +79,35 @@ def test_documents(spark):
     assert flat.count() == 0
     start = lm.score(docs.limit(1), lm.train(docs.limit(0))).first()
     assert start.mean_log_likelihood == pytest.approx(-np.log(lm._IDS), abs=1e-3)
+
+
+def test_words_of_one_id_share_its_probability_by_their_counts(spark, monkeypatch):
+    named = [f"q{i}" for i in range(9000)]
+    ids = lm.ids_of(words(pa.array([" ".join(named)]))).tolist()
+    same = [w for w, i in zip(named, ids, strict=True) if i == ids[0]][:3]
+    assert len(same) == 3
+    common, rare, unmet = same
+    rows = [(i, " ".join([common] * 20 + [rare] * (i < 2) + [f"z{i % 7}", f"y{i}"])) for i in range(40)] + [(None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = Counter(w for _, t in rows for w in t.split())
+    asked = spark.createDataFrame([(1, f"{common} z1"), (1, f"{rare} z1"), (3, f"{unmet.upper()} z1"), (4, f"{rare} {rare} y3 {common}"), (5, None)], "doc_id long, text string")
+    for head in (0, 3, 1 << 18):
+        monkeypatch.setattr(lm, "HEAD", head)
+        net = lm.train(docs)
+        total = np.zeros(lm._IDS)
+        for w, i in zip(count, lm.ids_of(words(pa.array([" ".join(count)]))).tolist(), strict=True):
+            total[i] += count[w]
+        assert np.array_equal(net.vocabulary.total, total) and len(net.vocabulary.head) <= max(head, 0)
+        got = {}
+        for r in lm.score(asked, net).collect():
+            got.setdefault(r.doc_id, []).append(r)
+        expected = {}
+        for i, t in ((r.doc_id, r.text) for r in asked.collect()):
+            w = words(pa.array([t or ""]))
+            own = lm.ids_of(w)
+            each = lm.log_probabilities(net, lm.contexts(own, w.first), own) + np.log([max(1, count[x]) for x in (t or "").lower().split()]) - np.log1p(total[own])
+            expected.setdefault(i, []).append(each.sum())
+        assert {i: sorted(r.log_likelihood for r in rs) for i, rs in got.items()} == {i: pytest.approx(sorted(x), abs=1e-5) for i, x in expected.items()}
+        assert got[5][0].mean_log_likelihood is None and got[4][0].mean_log_likelihood == pytest.approx(got[4][0].log_likelihood / 4)
+        one, two = sorted((r.log_likelihood for r in got[1]), reverse=True)
+        assert one - two == pytest.approx(np.log(count[common] / 2), abs=1e-5)

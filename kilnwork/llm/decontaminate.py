@@ -1,9 +1,11 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by counted seeds of two words.
 
-A mask says which of a few successive words count; a seed is the hash of those words. Words that a mask ignores may
-differ, so test passages with replaced words still share seeds with their sources. The seeds of the benchmark, a stated
-set of items, are looked up for every place of every document, in blocks of items of bounded size; around each hit,
-document and item are compared word by word along the hit's diagonal, and the best stretch decides.
+The seeds of the benchmark, a stated set of items, are looked up for every place of every document, in blocks of items
+of bounded size. Each hit lies on a diagonal of a document and an item. Diagonals with enough hits are compared word by
+word, and the best stretch decides.
+
+Enough is what every overlap has: a stretch of e equal and d other words has a score above 0, so d < e / PENALTY; the
+others part the equal ones into d + 1 runs at most, so e - d - 1 seeds at least lie in it. No overlap is lost.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from kilnwork.llm.shared import bounded_batches
 from kilnwork.llm.textops import ALNUM, Words, mix, slices, words
 
-#: Masks of seven words each (fixed values).
-MASKS = ("1111111", "110110111", "1011101011", "11101001101")
+#: Words of one seed.
+PAIR = 2
 #: A stretch counts each equal word 1 and each other PENALTY; it is an overlap with the least number of equal words.
 PENALTY = 1.5
 MOST_NEEDED, LEAST_NEEDED, SHARE_NEEDED = 13, 7, 0.7
@@ -41,38 +43,50 @@ def tokens(column: pa.Array) -> Words:
     return words(pc.utf8_lower(pc.fill_null(column, "")), ALNUM)
 
 
-def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
-    """The seed of each place at which the mask fits."""
-    n = len(hashes) - len(mask) + 1
+def least_hits(n_words: int) -> int:
+    """Seeds that every overlap with an item of so many words has on its diagonal."""
+    if n_words < LEAST_NEEDED:
+        return 1
+    # From 3 * MOST_NEEDED equal words on there are always more.
+    return min(e - math.ceil(e / PENALTY) for e in range(needed(n_words), 3 * MOST_NEEDED))
+
+
+def seeds(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The seed of ``size`` words from each place on."""
+    n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(len(mask)), np.uint64)
-    for j, c in enumerate(mask):
-        if c == "1":
-            total += hashes[j : j + n] * (mix(np.array([j + 101], np.uint64))[0] | np.uint64(1))
+    total = np.full(n, np.uint64(size), np.uint64)
+    for j in range(size):
+        total += hashes[j : j + n] * (mix(np.array([j + 101], np.uint64))[0] | np.uint64(1))
     return mix(total)
 
 
 @dataclass
 class Items:
-    """A block of items and their seeds, sorted."""
+    """A block of items and their seeds, sorted; the sizes of seeds among them, and the hits that each item's overlaps have."""
 
     ids: list
     hashes: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    sizes: list[int]
+    least: np.ndarray
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None]) -> Items:
         w = tokens(pa.array(texts, pa.string()))
         hashes = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        parts = [(s, np.full(len(s), i), np.arange(len(s))) for i, h in enumerate(hashes) for m in MASKS if len(s := seeds(h, m))]
+        size = [PAIR if len(h) >= LEAST_NEEDED else len(h) for h in hashes]
+        least = np.array([least_hits(len(h)) for h in hashes], np.int64)
+        sizes = sorted(set(size) - {0})
+        parts = [(s, np.full(len(s), i), np.arange(len(s))) for i, h in enumerate(hashes) if size[i] and len(s := seeds(h, size[i]))]
         if not parts:
-            return cls(ids, hashes, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return cls(ids, hashes, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), sizes, least)
         seed, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(seed, kind="stable")
-        return cls(ids, hashes, seed[order], item[order], place[order])
+        return cls(ids, hashes, seed[order], item[order], place[order], sizes, least)
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -93,9 +107,12 @@ class Finder:
     def find(self, w: Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, equal words, first word, end) for each text and item that overlap: the best stretch, the first of several."""
         x = self.items
+        # A number for each item, text and diagonal: texts lie apart by the longest item, so that their diagonals differ.
+        longest = max(map(len, x.hashes), default=0)
+        width = len(w.hash) + (len(w.counts) + 2) * longest + 1
         sites: list[np.ndarray] = []
-        for m in MASKS:
-            s = seeds(w.hash, m)
+        for size in x.sizes:
+            s = seeds(w.hash, size)
             hit = np.flatnonzero(self.some[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
             low, high = np.searchsorted(x.seed, s[hit], "left"), np.searchsorted(x.seed, s[hit], "right")
             n = high - low
@@ -103,9 +120,15 @@ class Finder:
                 at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 here = np.repeat(hit, n)
                 text = np.searchsorted(w.first, here, "right") - 1
-                sites.append(np.stack([text, x.item[at], here - x.place[at]], axis=1))
+                sites.append(x.item[at] * width + here - x.place[at] + (text + 1) * longest)
+        found, hits = np.unique(np.concatenate(sites), return_counts=True) if sites else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        item, shifted = np.divmod(found, width)
+        enough = hits >= x.least[item]
+        item, shifted = item[enough], shifted[enough]
+        # Text t's diagonals lie above first[t] + t * longest and below the next text's.
+        text = np.searchsorted(w.first[:-1] + np.arange(len(w.counts)) * longest, shifted, "left") - 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, diagonal in np.unique(np.concatenate(sites), axis=0).tolist() if sites else []:
+        for t, i, diagonal in zip(text.tolist(), item.tolist(), (shifted - (text + 1) * longest).tolist(), strict=True):
             own = x.hashes[i]
             a, b = max(int(w.first[t]), diagonal), min(int(w.first[t + 1]), diagonal + len(own))
             equal, begin, end = best_stretch(w.hash[a:b] == own[a - diagonal : b - diagonal])

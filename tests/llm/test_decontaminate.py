@@ -60,3 +60,34 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert de.overlaps(docs, items).count() == 0 and de.without_overlaps(docs, items).count() == 1
     assert de.overlaps(docs.limit(0), spark.createDataFrame([(1, "a " * 30)], "item_id long, text string")).count() == 0
+
+
+def changed(rng, w, kind):
+    """Every third, fourth or fifth word replaced, or each with a probability."""
+    if kind >= 1:
+        return [f"new{rng.randrange(10**6)}" if k % kind == kind - 1 else x for k, x in enumerate(w)]
+    return [f"new{rng.randrange(10**6)}" if rng.random() < kind else x for x in w]
+
+
+def test_replaced_words_against_brute_force(spark):
+    rng = random.Random(8)
+    say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([7, 8, 10, 13, 15, 20, 30, 45, 60])]
+    docs = []
+    for _, t in items:
+        for kind in (3, 4, 5, 0.0, 0.1, 0.2, 0.25, 0.3, 0.3):
+            docs.append((len(docs), " ".join(say(rng.randint(0, 20)) + changed(rng, t.split(), kind) + say(rng.randint(0, 20)))))
+    expected = brute(docs, items)
+    assert {e[1] for e in expected} == {i for i, _ in items} and len(expected) > 40
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in de.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_every_overlap_has_the_hits_that_are_asked_for():
+    rng = np.random.default_rng(2)
+    for n in (7, 8, 9, 10, 12, 13, 15, 18, 30, 60):
+        for rate in (0.1, 0.25, 0.33, 0.4):
+            for equal in rng.random((300, n)) >= rate:
+                e, a, b = de.best_stretch(equal)
+                assert e < de.needed(n) or (equal[a : b - 1] & equal[a + 1 : b]).sum() >= de.least_hits(n)

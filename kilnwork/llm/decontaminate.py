@@ -5,7 +5,8 @@ of bounded size. Each hit lies on a diagonal of a document and an item. Diagonal
 word, and the best stretch decides.
 
 Enough is what every overlap has: a stretch of e equal and d other words has a score above 0, so d < e / PENALTY; the
-others part the equal ones into d + 1 runs at most, so e - d - 1 seeds at least lie in it. No overlap is lost.
+others part the equal ones into d + 1 runs at most, so e - d - 1 seeds at least lie in it. No overlap is lost. Items of
+fewer than LEAST_NEEDED words are looked up by the seed of their whole word sequence.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ _BITS = 22
 
 
 def needed(n_words: int) -> int:
-    """Equal words that make an overlap with an item of so many words. Items of fewer than LEAST_NEEDED words never have one."""
+    """Equal words that make an overlap with an item of so many words: all of fewer than LEAST_NEEDED."""
+    if n_words < LEAST_NEEDED:
+        return max(1, n_words)
     return max(LEAST_NEEDED, min(MOST_NEEDED, math.ceil(SHARE_NEEDED * n_words)))
 
 

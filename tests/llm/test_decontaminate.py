@@ -72,13 +72,13 @@ def changed(rng, w, kind):
 def test_replaced_words_against_brute_force(spark):
     rng = random.Random(8)
     say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
-    items = [(i, " ".join(say(n))) for i, n in enumerate([7, 8, 10, 13, 15, 20, 30, 45, 60])]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([1, 2, 3, 5, 6, 7, 8, 10, 13, 15, 20, 30, 45, 60])]
     docs = []
     for _, t in items:
         for kind in (3, 4, 5, 0.0, 0.1, 0.2, 0.25, 0.3, 0.3):
             docs.append((len(docs), " ".join(say(rng.randint(0, 20)) + changed(rng, t.split(), kind) + say(rng.randint(0, 20)))))
     expected = brute(docs, items)
-    assert {e[1] for e in expected} == {i for i, _ in items} and len(expected) > 40
+    assert {e[1] for e in expected} == {i for i, _ in items} and len(expected) > 60
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = [tuple(r) for r in de.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))

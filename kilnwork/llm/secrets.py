@@ -123,8 +123,17 @@ def _ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _covered(begin: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether spans, ordered by start, together cover all from begin to end."""
+    for a, b, _ in spans:
+        if a > begin:
+            break
+        begin = max(begin, b)
+    return begin >= end
+
+
 def guessed_spans(text: str, taken: list[tuple[int, int, str]], least_bits: float = LEAST_BITS) -> tuple[list[tuple[int, int, str]], float]:
-    """Costly values in credential contexts that no taken span covers in part, and the highest cost of any such value."""
+    """Costly values in credential contexts that taken spans don't cover entirely, and the highest cost of any such value."""
     low, out, most = text.lower(), [], 0.0
     if any(h in low for h in HINTS):
         for m in CONTEXT.finditer(text):
@@ -132,7 +141,7 @@ def guessed_spans(text: str, taken: list[tuple[int, int, str]], least_bits: floa
                 continue
             bits = guess_bits(m[1])
             most = max(most, bits)
-            if bits >= least_bits and not any(a < m.end(1) and m.start(1) < b for a, b, _ in taken):
+            if bits >= least_bits and not _covered(m.start(1), m.end(1), taken):
                 out.append((m.start(1), m.end(1), "guess"))
     return out, most
 

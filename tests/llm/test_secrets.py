@@ -66,3 +66,12 @@ def test_documents(spark):
     clean = s.redact(docs)
     assert clean.schema == docs.schema and clean.where("doc_id = 1").first().text == "[SECRET]" and clean.where("doc_id = 2").first().text is None
     assert s.scan(docs.limit(0)).count() == 0 == s.redact(docs.limit(0)).count()
+
+
+def test_values_that_base_spans_cover_in_part():
+    for text, left in (("password=Abcdef123456$Tail!x9Q end", "[SECRET] end"), ("pwd: Zq7!k9" + "0123456789abcdef" + " end", "pwd: [SECRET] end"), ("pwd: " + "0123456789abcdef" + "$Tail!x9Q", "pwd: [SECRET]")):
+        base, spans, _ = s.find(text)
+        assert base == s.base_spans(text) and [k for _, _, k in spans].count("guess") == 1
+        assert s.redacted(text, spans) == left
+    text = "token=x9Kq2vLp0zTr7mm"
+    assert [k for _, _, k in s.find(text)[1]] == ["assign"]

@@ -1,10 +1,13 @@
 """Word boundaries, word hashes and shingles of Arrow text columns, in numpy over the UTF-8 bytes of many texts at once.
 
 All hashes are 64 bits wide and depend on the bytes of the word alone, so that they agree between tasks and tables.
+Words of up to LONG bytes have polynomial hashes modulo 2**64; those can be equal for different long words of a regular
+make, so longer words have BLAKE2 digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +19,8 @@ U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 5
+#: Bytes of the longest word with a polynomial hash.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,6 +134,8 @@ def words(column: pa.Array, table: np.ndarray = SPACED) -> Words:
     total = np.zeros(len(data) + 1, dtype=U)
     np.cumsum(VALUES[data] * up[: len(data)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(LOWER[data[start[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
     return Words(data, offsets, start, end, np.searchsorted(start, offsets), hashes)
 
 

@@ -1,37 +1,47 @@
-"""Benchmark decontamination by counted seeds of two words.
+"""Benchmark decontamination by spaced seeds.
 
-The seeds of the benchmark, a stated set of items, are looked up for every place of every document, in blocks of items
-of bounded size. Each hit lies on a diagonal of a document and an item. Diagonals with enough hits are compared word by
-word, and the best stretch decides.
+A seed is the hash of the words at a mask's places, the words between are ignored; MASKS are all masks of WEIGHT places
+within SPAN words. The seeds of the documents, those that a Bloom table of the benchmark's seeds lets through, are
+joined with the benchmark's. A hit lies on a diagonal of a document and an item. Diagonals with enough hits are
+compared word by word, and the best stretch decides.
 
-Enough is what every overlap has: a stretch of e equal and d other words has a score above 0, so d < e / PENALTY; the
-others part the equal ones into d + 1 runs at most, so e - d - 1 seeds at least lie in it. No overlap is lost. Items of
-fewer than LEAST_NEEDED words are looked up by the seed of their whole word sequence.
+Enough is what every overlap has (``least_hits``): the beginning of a best stretch up to its needed-th equal word never
+has a score below 0, and of all such arrangements of equal and other words the least number of hits is found by dynamic
+programming. No overlap is lost. Items of fewer than LEAST_NEEDED words are looked up by the seed of their whole word
+sequence.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kilnwork.llm.shared import bounded_batches
+from kilnwork.llm.shared import bounded_batches, stored
 from kilnwork.llm.textops import ALNUM, Words, mix, slices, words
 
-#: Words of one seed.
-PAIR = 2
+U = np.uint64
+#: Places of a seed, and the neighbouring words that they lie in.
+WEIGHT, SPAN = 3, 5
+MASKS = [(0, *rest) for rest in itertools.combinations(range(1, SPAN), WEIGHT - 1)]
 #: A stretch counts each equal word 1 and each other PENALTY; it is an overlap with the least number of equal words.
 PENALTY = 1.5
 MOST_NEEDED, LEAST_NEEDED, SHARE_NEEDED = 13, 7, 0.7
-#: Bytes of item text looked up in one pass over the documents; their seeds take about sixteen times as much in each Python worker.
-BLOCK_BYTES = 4 << 20
-_BITS = 22
+#: The Bloom table has 32 bits for each seed, from 2**16 to 2**29 bits (64 MB, sent to every task); a larger benchmark's lets more through.
+LEAST_BITS, MOST_BITS = 16, 29
+#: Seeds of a benchmark that is sent whole to every task (three numbers each); a larger one is shuffled.
+MOST_BROADCAST = 1_000_000
+#: In a shuffled join, seeds with more hits than HOT are dealt out over SALTS parts.
+HOT, SALTS = 1 << 20, 64
 
 
 def needed(n_words: int) -> int:
@@ -41,55 +51,50 @@ def needed(n_words: int) -> int:
     return max(LEAST_NEEDED, min(MOST_NEEDED, math.ceil(SHARE_NEEDED * n_words)))
 
 
-def tokens(column: pa.Array) -> Words:
-    """Lower-cased runs of letters, digits and characters outside ASCII."""
-    return words(pc.utf8_lower(pc.fill_null(column, "")), ALNUM)
-
-
+@functools.cache
 def least_hits(n_words: int) -> int:
-    """Seeds that every overlap with an item of so many words has on its diagonal."""
+    """Hits that every overlap with an item of so many words has on its diagonal."""
     if n_words < LEAST_NEEDED:
         return 1
-    # From 3 * MOST_NEEDED equal words on there are always more.
-    return min(e - math.ceil(e / PENALTY) for e in range(needed(n_words), 3 * MOST_NEEDED))
+    goal, least = needed(n_words), math.inf
+    # Fewest hits of beginnings by (which of the last words are equal, score, equal words).
+    states = {(0, 0.0, 0): 0}
+    while states:
+        longer: dict[tuple[int, float, int], int] = {}
+        for (bits, score, n), hits in states.items():
+            for equal in (0, 1):
+                seen, value = bits << 1 | equal, score + (1 if equal else -PENALTY)
+                if value < 0:
+                    continue
+                total = hits + equal * sum(all(seen >> (mask[-1] - o) & 1 for o in mask) for mask in MASKS)
+                if n + equal == goal:
+                    least = min(least, total)
+                else:
+                    key = seen & ((1 << (SPAN - 1)) - 1), value, n + equal
+                    longer[key] = min(total, longer.get(key, total))
+        states = longer
+    return int(least)
+
 
+def tokens(column: pa.Array) -> Words:
+    """Lower-cased runs of letters, digits and characters outside ASCII."""
+    return words(pc.utf8_lower(pc.fill_null(column, "")), ALNUM)
 
-def seeds(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The seed of ``size`` words from each place on."""
-    n = len(hashes) - size + 1
+
+def seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """The seed of each place: of the words at the mask's offsets from there."""
+    n = len(hashes) - mask[-1]
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(size), np.uint64)
-    for j in range(size):
-        total += hashes[j : j + n] * (mix(np.array([j + 101], np.uint64))[0] | np.uint64(1))
+        return np.zeros(0, U)
+    total = np.full(n, U(len(mask)), U)
+    for o in mask:
+        total += hashes[o : o + n] * (mix(np.array([o + 101], U))[0] | U(1))
     return mix(total)
 
 
-@dataclass
-class Items:
-    """A block of items and their seeds, sorted; the sizes of seeds among them, and the hits that each item's overlaps have."""
-
-    ids: list
-    hashes: list[np.ndarray]
-    seed: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    sizes: list[int]
-    least: np.ndarray
-
-    @classmethod
-    def of(cls, ids: list, texts: list[str | None]) -> Items:
-        w = tokens(pa.array(texts, pa.string()))
-        hashes = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        size = [PAIR if len(h) >= LEAST_NEEDED else len(h) for h in hashes]
-        least = np.array([least_hits(len(h)) for h in hashes], np.int64)
-        sizes = sorted(set(size) - {0})
-        parts = [(s, np.full(len(s), i), np.arange(len(s))) for i, h in enumerate(hashes) if size[i] and len(s := seeds(h, size[i]))]
-        if not parts:
-            return cls(ids, hashes, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), sizes, least)
-        seed, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(seed, kind="stable")
-        return cls(ids, hashes, seed[order], item[order], place[order], sizes, least)
+def whole(n_words: int) -> tuple[int, ...]:
+    """The mask of a short item's whole word sequence."""
+    return tuple(range(n_words))
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -101,103 +106,188 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return int(equal[begin:end].sum()), begin, end
 
 
-class Finder:
-    def __init__(self, items: Items) -> None:
-        self.items = items
-        self.some = np.zeros(1 << _BITS, bool)
-        self.some[(items.seed >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-
-    def find(self, w: Words) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, equal words, first word, end) for each text and item that overlap: the best stretch, the first of several."""
-        x = self.items
-        # A number for each item, text and diagonal: texts lie apart by the longest item, so that their diagonals differ.
-        longest = max(map(len, x.hashes), default=0)
-        width = len(w.hash) + (len(w.counts) + 2) * longest + 1
-        sites: list[np.ndarray] = []
-        for size in x.sizes:
-            s = seeds(w.hash, size)
-            hit = np.flatnonzero(self.some[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
-            low, high = np.searchsorted(x.seed, s[hit], "left"), np.searchsorted(x.seed, s[hit], "right")
-            n = high - low
-            if n.sum():
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                here = np.repeat(hit, n)
-                text = np.searchsorted(w.first, here, "right") - 1
-                sites.append(x.item[at] * width + here - x.place[at] + (text + 1) * longest)
-        found, hits = np.unique(np.concatenate(sites), return_counts=True) if sites else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        item, shifted = np.divmod(found, width)
-        enough = hits >= x.least[item]
-        item, shifted = item[enough], shifted[enough]
-        # Text t's diagonals lie above first[t] + t * longest and below the next text's.
-        text = np.searchsorted(w.first[:-1] + np.arange(len(w.counts)) * longest, shifted, "left") - 1
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, diagonal in zip(text.tolist(), item.tolist(), (shifted - (text + 1) * longest).tolist(), strict=True):
-            own = x.hashes[i]
-            a, b = max(int(w.first[t]), diagonal), min(int(w.first[t + 1]), diagonal + len(own))
-            equal, begin, end = best_stretch(w.hash[a:b] == own[a - diagonal : b - diagonal])
-            if equal >= needed(len(own)):
-                first = a - int(w.first[t]) + begin
-                best[t, i] = min(best.get((t, i), (1, 0, 0)), (-equal, first, first + end - begin))
-        return [(t, i, -e, a, b) for (t, i), (e, a, b) in sorted(best.items())]
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
-    """The items in blocks of about block_bytes, one after the other on the driver."""
-    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows
-        found = part.collect()
-        yield Items.of([r["item_id"] for r in found], [r["text"] for r in found])
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with their words and seeds."""
+    for batch in batches:
+        w = tokens(batch.column(2))
+        rows = []
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            own = w.hash[a:b]
+            parts = [(s, np.arange(len(s))) for m in (MASKS if b - a >= LEAST_NEEDED else [whole(b - a)] if b > a else []) for s in [seeds(own, m)]]
+            rows.append([{"seed": s, "place": p} for x, y in parts for s, p in zip(x.view(np.int64).tolist(), y.tolist(), strict=True)])
+        lists = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(w.hash.view(np.int64)))
+        counts = w.counts.tolist()
+        made = [pa.array(counts, pa.int32()), pa.array([needed(n) for n in counts], pa.int32()), pa.array([least_hits(n) for n in counts], pa.int32()), lists]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array(rows, pa.list_(pa.struct([("seed", pa.int64()), ("place", pa.int32())])))], ["item", "item_id", "n", "needed", "least", "own", "seeds"])
+
+
+class Benchmark:
+    """A benchmark's items and seeds in the shared folder, and what every task gets of them: the Bloom table, the sizes of
+    short items, and the fewest hits and most words of the others."""
+
+    def __init__(self, benchmark: DataFrame) -> None:
+        spark = benchmark.sparkSession
+        kind = benchmark.schema["item_id"].dataType
+        schema = T.StructType(
+            [T.StructField("item", T.LongType()), T.StructField("item_id", kind), *[T.StructField(c, T.IntegerType()) for c in ("n", "needed", "least")], T.StructField("own", T.ArrayType(T.LongType()))]
+            + [T.StructField("seeds", T.ArrayType(T.StructType([T.StructField("seed", T.LongType()), T.StructField("place", T.IntegerType())])))]
+        )
+        self.items = stored(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(_posted, schema), "items")
+        postings = self.items.select("item", "least", F.explode("seeds").alias("s")).select("item", "least", "s.seed", F.col("s.place").alias("at"))
+        self.postings = postings
+        long_ = F.col("n") >= LEAST_NEEDED
+        facts = self.items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)).alias("n"), F.max(F.when(long_, F.col("n"))).alias("longest"), F.min(F.when(long_, F.col("least"))).alias("least"), F.collect_set(F.when(~long_ & (F.col("n") > 0), F.col("n"))).alias("short")).first()
+        self.n_seeds = facts["n"]
+        self.bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(32 * max(1, self.n_seeds)))))
+        spot = F.shiftrightunsigned("seed", 64 - self.bits)
+        lanes = postings.groupBy(F.shiftright(spot, 6).alias("lane")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("set")).toArrow()
+        table = np.zeros(1 << (self.bits - 6), U)
+        table[lanes["lane"].to_numpy()] = lanes["set"].to_numpy().view(U)
+        self.sent = spark.sparkContext.broadcast((table, self.bits, facts["longest"], facts["least"], sorted(facts["short"])))
+
+
+def _dense(spread: np.ndarray, least: int, longest: int) -> np.ndarray:
+    """Which of the ascending places lie among ``least`` ones within ``longest`` words."""
+    keep = np.zeros(len(spread) + 1, np.int64)
+    begin = np.flatnonzero(spread[least - 1 :] - spread[: len(spread) - least + 1] < longest) if len(spread) >= least else np.zeros(0, int)
+    np.add.at(keep, begin, 1)
+    np.add.at(keep, begin + least, -1)
+    return np.cumsum(keep[:-1]) > 0
+
+
+def _sighted(sent, keep: list[str]):
+    """Rows with hits that could make an overlap: a key, the ``keep`` columns, the words and the hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits, longest, least, short = sent.value
+        key = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            column = batch.column(len(keep))
+            for x, y in slices(column):
+                w = tokens(column.slice(x, y - x))
+                text, ends = w.text_of_word(), np.repeat(w.first[1:], w.counts)
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+                for mask in ([*MASKS] if longest else []) + [whole(n) for n in short]:
+                    s = seeds(w.hash, mask)
+                    spot = s >> U(64 - bits)
+                    at = np.flatnonzero((table[(spot >> U(6)).astype(np.int64)] >> (spot & U(63))) & U(1))
+                    at = at[at + mask[-1] < ends[at]]
+                    found.append((at, s[at]))
+                # Hits of long items stand several together; texts lie apart by more than the longest item.
+                n_long = len(MASKS) if longest else 0
+                place, seed = (np.concatenate([f[i] for f in found[:n_long]] or [np.zeros(0, d)]) for i, d in ((0, np.int64), (1, U)))
+                if len(place):
+                    order = np.argsort(place, kind="stable")
+                    place, seed = place[order], seed[order]
+                    dense = _dense(place + text[place] * longest, least, longest)
+                    place, seed = place[dense], seed[dense]
+                place, seed = np.concatenate([place, *[f[0] for f in found[n_long:]]]), np.concatenate([seed, *[f[1] for f in found[n_long:]]])
+                if not len(place):
+                    continue
+                order = np.argsort(place, kind="stable")
+                place, seed = place[order], seed[order]
+                of = text[place]
+                rows, n_hits = np.unique(of, return_counts=True)
+                sizes = w.counts[rows]
+                own = np.concatenate([w.hash[w.first[t] : w.first[t + 1]] for t in rows.tolist()])
+                made = [
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(own.view(np.int64))),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum(n_hits)]).astype(np.int32)),
+                        pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array((place - w.first[of]).astype(np.int32))], ["seed", "place"]),
+                    ),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(key + rows), *[batch.column(i).slice(x, y - x).take(pa.array(rows)) for i in range(len(keep))], *made], ["key", *keep, "text_words", "hits"])
+                key += y - x
+
+    return run
+
+
+def _verified(keep: list[str]):
+    """Each row's overlaps with its candidate items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, found = batch.column(len(keep)), batch.column(len(keep) + 1)
+            row, ids, made = [], [], []
+            for r in range(len(held)):
+                w, items = held[r].values.to_numpy(), found[r].values
+                own, diagonals, least = items.field("own"), items.field("diagonals"), items.field("needed").to_pylist()
+                for k in range(len(items)):
+                    v, best = own[k].values.to_numpy(), (1, 0, 0)
+                    for g in diagonals[k].values.to_numpy().tolist():
+                        a, b = max(0, g), min(len(w), g + len(v))
+                        equal, begin, end = best_stretch(w[a:b] == v[a - g : b - g])
+                        if equal >= least[k]:
+                            best = min(best, (-equal, a + begin, a + end))
+                    if best[0] < 0:
+                        row.append(r)
+                        ids.append(items.field("item_id")[k])
+                        made.append((-best[0], best[1], best[2], -best[0] / (best[2] - best[1])))
+            if row:
+                columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+                kind = found.type.value_type.field("item_id").type
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(row)) for i in range(len(keep))], pa.array([i.as_py() for i in ids], kind), *columns], [*keep, "item_id", "n_equal", "first_word", "end_word", "share"])
+
+    return run
+
+
+def _dealt(hits: DataFrame, bench: Benchmark, most_broadcast: int, hot: int) -> DataFrame:
+    """Hits joined with the benchmark's seeds."""
+    if bench.n_seeds <= most_broadcast:
+        return hits.join(F.broadcast(bench.postings), "seed")
+    # Seeds with very many hits are few; their items are repeated for each salt.
+    often = stored(hits.groupBy("seed").count().where(F.col("count") > hot).select("seed", F.lit(SALTS).alias("salts")), "often")
+    often = F.broadcast(often) if often.count() <= most_broadcast else often
+    salts = F.coalesce("salts", F.lit(1))
+    left = hits.join(often, "seed", "left").select("key", "seed", "place", F.pmod(F.xxhash64("key", "place"), salts).cast("int").alias("salt"))
+    right = bench.postings.join(often, "seed", "left").select("seed", "item", "least", "at", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, ["seed", "salt"])
+
+
+def _found(rows: DataFrame, keep: list[str], benchmark: DataFrame, most_broadcast: int, hot: int) -> DataFrame:
+    """The ``keep`` columns and the overlaps' of ``rows`` (keep, text)."""
+    bounded_batches(rows.sparkSession)
+    bench = Benchmark(benchmark)
+    held = [rows.schema[c] for c in keep]
+    hit = T.StructType([T.StructField("seed", T.LongType()), T.StructField("place", T.IntegerType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), *held, T.StructField("text_words", T.ArrayType(T.LongType())), T.StructField("hits", T.ArrayType(hit))])
+    sighted = stored(rows.select(*keep, "text").mapInArrow(_sighted(bench.sent, keep), schema), "sighted")
+    hits = sighted.select("key", F.explode("hits").alias("h")).select("key", "h.seed", "h.place")
+    diagonals = (
+        _dealt(hits, bench, most_broadcast, hot)
+        .groupBy("key", "item", (F.col("place") - F.col("at")).alias("diagonal"))
+        .agg(F.count(F.lit(1)).alias("hits"), F.max("least").alias("least"))
+        .where("hits >= least")
+    )
+    # One document's candidates meet in one row: at most its hits' diagonals.
+    candidates = (
+        diagonals.groupBy("key", "item")
+        .agg(F.collect_list("diagonal").alias("diagonals"))
+        .join(bench.items.select("item", "item_id", "needed", "own"), "item")
+        .groupBy("key")
+        .agg(F.collect_list(F.struct("item_id", "needed", "own", "diagonals")).alias("found"))
+    )
+    item_id = benchmark.schema["item_id"]
+    out = T.StructType([*held, T.StructField("item_id", item_id.dataType), *[T.StructField(c, T.LongType()) for c in ("n_equal", "first_word", "end_word")], T.StructField("share", T.DoubleType())])
+    return sighted.drop("hits").join(candidates, "key").select(*keep, "text_words", "found").mapInArrow(_verified(keep), out)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST, hot: int = HOT) -> DataFrame:
     """doc_id, item_id, n_equal, first_word, end_word and share for each document and item of ``benchmark`` (item_id,
-    text) that overlap; one row for each pair, with its best stretch in words of the document.
+    text) that overlap; one row for each pair, with its best stretch in words of the document (of equal ones the first,
+    then the shortest).
 
     Null and empty texts overlap nothing. Repeated rows of either table each give rows; null ids are kept. Other
-    columns are ignored. A benchmark of more than block_bytes is looked up in several passes.
+    columns are ignored. A benchmark of more than most_broadcast seeds is shuffled, with seeds of more than ``hot`` hits salted.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_equal long, first_word long, end_word long, share double"
-    out = None
-    for items in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder = Finder(sent.value)
-            for batch in batches:
-                for a, b in slices(batch.column(1)):
-                    found = finder.find(tokens(batch.column(1).slice(a, b - a)))
-                    if found:
-                        t, i, e, x, y = (list(c) for c in zip(*found, strict=True))
-                        made = [pa.array(c, pa.int64()) for c in (e, x, y)] + [pa.array([n / (q - p) for n, p, q in zip(e, x, y, strict=True)])]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(t)), pa.array([finder.items.ids[k] for k in i])] + made, ["doc_id", "item_id", "n_equal", "first_word", "end_word", "share"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that overlap no item, unchanged."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    for items in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder = Finder(sent.value)
-            for batch in batches:
-                column = batch.column(batch.schema.get_field_index("text"))
-                clean = np.ones(len(column), bool)
-                for a, b in slices(column):
-                    for t, *_ in finder.find(tokens(column.slice(a, b - a))):
-                        clean[a + t] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return _found(docs, ["doc_id"], benchmark, most_broadcast, hot)
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` that overlap no item, unchanged. Rows of equal texts go or stay together."""
+    h1, h2 = (F.xxhash64(*salt, F.coalesce(docs["text"], F.lit(""))) for salt in ((), (F.lit(1),)))
+    rows = docs.select(h1.alias("_kw_h1"), h2.alias("_kw_h2"), "text")
+    dirty = stored(_found(rows, ["_kw_h1", "_kw_h2"], benchmark, most_broadcast, hot).select("_kw_h1", "_kw_h2").distinct(), "dirty")
+    small = dirty.count() <= most_broadcast
+    return docs.join(F.broadcast(dirty) if small else dirty, (h1 == F.col("_kw_h1")) & (h2 == F.col("_kw_h2")), "left_anti")

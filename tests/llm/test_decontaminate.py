@@ -1,9 +1,29 @@
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from kilnwork.llm import decontaminate as de
+from kilnwork.llm.textops import ALNUM, words
+
+
+def wanted(n):
+    """Of fewer than 7 words all, else 70 percent, at least 7 and at most 13."""
+    return max(n, 1) if n < 7 else max(7, min(13, -(-7 * n // 10)))
+
+
+def plain_best(equal):
+    """The stretch with the highest score of all: equal words count 1, others -1.5; the earliest end, then the earliest beginning."""
+    best = (0, 0, 0, 0)
+    for end in range(len(equal) + 1):
+        score = 0.0
+        for begin in range(end - 1, -1, -1):
+            score += 1 if equal[begin] else -1.5
+            if score > best[0] or (score == best[0] and end == best[2]):
+                best = (score, begin, end, sum(equal[begin:end]))
+    return best[3], best[1], best[2]
 
 
 def brute(docs, items):
@@ -16,8 +36,10 @@ def brute(docs, items):
             best = None
             for g in range(-len(v) + 1, len(w)):
                 a, b = max(0, g), min(len(w), g + len(v))
-                e, x, y = de.best_stretch(np.array([w[k] == v[k - g] for k in range(a, b)], bool))
-                if e >= de.needed(len(v)):
+                if sum(w[k] == v[k - g] for k in range(a, b)) < wanted(len(v)):
+                    continue
+                e, x, y = plain_best([w[k] == v[k - g] for k in range(a, b)])
+                if e >= wanted(len(v)):
                     best = min(best or (1,), (-e, a + x, a + y))
             if best:
                 out.append((d, i, -best[0], best[1], best[2], -best[0] / (best[2] - best[1])))
@@ -48,11 +70,10 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = brute(docs, items)
     assert len(expected) > 40
-    for size in (1 << 20, 900):
-        got = [tuple(r) for r in de.overlaps(table, bench, size).collect()]
-        assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    got = [tuple(r) for r in de.overlaps(table, bench).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
     dirty = {(d, t) for d, t in docs if d in {e[0] for e in expected}}
-    kept = [(r.doc_id, r.text) for r in de.without_overlaps(table, bench, 900).collect()]
+    kept = [(r.doc_id, r.text) for r in de.without_overlaps(table, bench).collect()]
     assert sorted(map(repr, kept)) == sorted(repr(x) for x in docs if x not in dirty)
 
 
@@ -87,7 +108,26 @@ def test_replaced_words_against_brute_force(spark):
 def test_every_overlap_has_the_hits_that_are_asked_for():
     rng = np.random.default_rng(2)
     for n in (7, 8, 9, 10, 12, 13, 15, 18, 30, 60):
-        for rate in (0.1, 0.25, 0.33, 0.4):
-            for equal in rng.random((300, n)) >= rate:
-                e, a, b = de.best_stretch(equal)
-                assert e < de.needed(n) or (equal[a : b - 1] & equal[a + 1 : b]).sum() >= de.least_hits(n)
+        every = np.array(list(itertools.product([False, True], repeat=n))) if n <= 12 else np.concatenate([rng.random((400, n)) >= rate for rate in (0.1, 0.25, 0.33, 0.4)])
+        for equal in every[every.sum(axis=1) >= de.needed(n)]:
+            e, a, b = de.best_stretch(equal)
+            if e >= de.needed(n):
+                assert sum(all(equal[p + o] for o in m) for m in de.MASKS for p in range(a, b - m[-1])) >= de.least_hits(n)
+
+
+def test_masks_ignore_positions_between():
+    h = words(pa.array(["a b c d e f"]), ALNUM).hash
+    for m in de.MASKS:
+        other = words(pa.array([" ".join(c if k in m else "z" for k, c in enumerate("abcdef"))]), ALNUM).hash
+        assert de.seeds(h, m)[0] == de.seeds(other, m)[0]
+    assert len({int(de.seeds(h, m)[0]) for m in de.MASKS}) == len(de.MASKS)
+
+
+def test_shuffled_benchmark_and_hot_seeds(spark):
+    docs, items = corpus()
+    expected = brute(docs, items)
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in de.overlaps(table, bench, most_broadcast=10, hot=3).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    clean = de.without_overlaps(table, bench, most_broadcast=10, hot=3)
+    assert clean.columns == table.columns and clean.count() == sum((d, t) not in {(d, t) for d, t in docs if d in {e[0] for e in expected}} for d, t in docs)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kilnwork.llm import url_filter
 from kilnwork.llm.registry import URL_RULES
@@ -33,14 +34,33 @@ def test_against_brute_force(spark):
 
 
 def test_filter_never_misses_and_mostly_rejects(spark):
-    listed = spark.createDataFrame([(f"h{i}.com", "/") for i in range(3000)], "host string, path string")
-    table = url_filter.build_filter(listed, 3000)
-    from pyspark.sql import functions as F
-
-    key = url_filter.key_of(F.col("host"), F.col("path"))
-    assert listed.where(url_filter.possible(key, table)).count() == 3000
-    other = spark.range(5000).select(F.concat(F.lit("g"), "id", F.lit(".com")).alias("host"), F.lit("/").alias("path"))
-    assert other.where(url_filter.possible(key, table)).count() < 100
+    keys = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".com/")).alias("key"))
+    blocks = url_filter.blocks_for(3000)
+    table = url_filter.build_filter(keys, blocks)
+    other = spark.range(5000).select(F.concat(F.lit("g"), "id", F.lit(".com/")).alias("key"))
+    for most in (1, 1 << 19):
+        assert url_filter.possible(keys, table, blocks, most).count() == 3000
+        assert url_filter.possible(other, table, blocks, most).count() < 100
+
+
+def test_lists_too_large_to_be_sent(spark):
+    rng = random.Random(2)
+    hosts = [f"h{i}.{t}" for i in range(30) for t in ("com", "net")] + ["com"]
+    rules = [(rng.choice(hosts), rng.choice(["/", "/a", "/a/b", "/en/"]), "block") for _ in range(80)]
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/a/b/c', '/en/1?q'])}" for _ in range(400)] + [None] * 50 + ["http://www.h1.com/"] * 100
+    rows = [(i, u, "clash", "x") for i, u in enumerate(urls)]
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    expected = sorted(repr((i, u, *brute(u, rules))) for i, u, _, _ in rows)
+    for limits in ({}, {"most_blocks": 1, "most_entries": 2}):
+        got = url_filter.filter_urls(spark.createDataFrame(rows, SCHEMA), listed, **limits)
+        assert sorted(repr((r.page_id, r.url, r.host, r.path, r.rule, r.verdict)) for r in got.collect()) == expected
+
+
+def test_a_million_entries_plan_within_seconds(spark):
+    listed = spark.range(1_000_000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
+    pages = spark.createDataFrame([(1, "http://www.h77.com/x"), (2, "http://www.h1000000.com/x")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, listed).collect()}
+    assert got == {1: "block", 2: "allow"}
 
 
 @pytest.mark.parametrize("listed", [[], [(None, "/", "block")]])

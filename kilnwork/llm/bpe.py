@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -26,6 +27,8 @@ from kilnwork.llm.shared import bounded_batches
 
 #: Words kept with their encodings by one Python worker.
 CACHE = 200_000
+#: Longest word, in symbols, that is merged in rounds over whole words.
+LONG = 256
 _NONE = np.int64(1) << 40
 
 
@@ -81,22 +84,35 @@ def load(path: str) -> Vocabulary:
     )
 
 
+def _looked_up(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each pair, _NONE without one, and the place of its merge."""
+    key = left << 32 | right
+    at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+    return np.where(v.keys[at] == key, v.ranks[at], _NONE), at
+
+
+def _every_second(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of ascending places, those that merge: in a run, in which each is the ``after`` of the one before, every second from the first on."""
+    new = np.concatenate([[True], places[1:] != after[:-1]])
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
+    return (np.arange(len(places)) - begin) % 2 == 0
+
+
 def merge_words(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     """The token ids of each word (not empty)."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    ids = v.single[flat]
-    ends = np.cumsum(sizes)
-    ids[ends - 1] = v.last[flat[ends - 1]]
-    word = np.repeat(np.arange(len(words)), sizes)
+    long_ = [i for i, w in enumerate(words) if len(w) > LONG]
     out: list[list[int]] = [[]] * len(words)
+    for i, ids in zip(long_, merge_long([words[i] for i in long_], v), strict=True):
+        out[i] = ids
+    short = np.array([i for i, w in enumerate(words) if len(w) <= LONG], np.int64)
+    sizes = np.array([len(words[i]) for i in short], np.int64)
+    ids, ends = _symbols(b"".join([words[i] for i in short]), sizes, v)
+    word = np.repeat(short, sizes)
     while len(ids):
         inner = word[1:] == word[:-1]
         rank = np.full(len(ids), _NONE, np.int64)
-        key = ids[:-1] << 32 | ids[1:]
-        at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        hit = inner & (v.keys[at] == key)
-        rank[:-1][hit] = v.ranks[at[hit]]
+        found, at = _looked_up(ids[:-1], ids[1:], v)
+        rank[:-1] = np.where(inner, found, _NONE)
         head = np.flatnonzero(np.concatenate([[True], ~inner]))
         low = np.minimum.reduceat(rank, head)
         size = np.diff(np.append(head, len(ids)))
@@ -104,10 +120,7 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[list[int]]:
             out[i] = ids[a : a + n].tolist()
         chosen = np.flatnonzero((rank == np.repeat(low, size)) & (rank != _NONE))
         if len(chosen):
-            # In a run of overlapping pairs every second one merges, beginning with the first.
-            new = np.concatenate([[True], np.diff(chosen) != 1])
-            begin = np.maximum.accumulate(np.where(new, np.arange(len(chosen)), 0))
-            chosen = chosen[(np.arange(len(chosen)) - begin) % 2 == 0]
+            chosen = chosen[_every_second(chosen, chosen + 1)]
             ids[chosen] = v.merged[at[chosen]]
         keep = np.repeat(low != _NONE, size)
         keep[chosen + 1] = False
@@ -115,6 +128,69 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     return out
 
 
+def _symbols(joined: bytes, sizes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words' bytes, and the words' ends."""
+    flat, ends = np.frombuffer(joined, np.uint8), np.cumsum(sizes)
+    ids = v.single[flat]
+    ids[ends - 1] = v.last[flat[ends - 1]]
+    return ids, ends
+
+
+def merge_long(words: list[bytes], v: Vocabulary) -> list[list[int]]:
+    """As merge_words, in rounds by rank over a linked list of symbols."""
+    if not words:
+        return []
+    ids, ends = _symbols(b"".join(words), np.array([len(w) for w in words], np.int64), v)
+    n = len(ids)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1] = n  # n: none
+    before[np.concatenate([[0], ends[:-1]])] = n
+    rank = np.full(n + 1, _NONE)
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def look(places: np.ndarray) -> None:
+        """Find the ranks of the pairs that begin at these places, and put them to wait."""
+        right = after[places]
+        inner = right < n
+        rank[places[~inner]] = _NONE
+        places, right = places[inner], right[inner]
+        found, _ = _looked_up(ids[places], ids[right], v)
+        rank[places] = found
+        some = found != _NONE
+        places, found = places[some], found[some]
+        order = np.argsort(found, kind="stable")
+        places, found = places[order], found[order]
+        cuts = np.flatnonzero(np.diff(found)) + 1
+        for r, part in zip(found[np.concatenate([[0], cuts])].tolist() if len(found) else [], np.split(places, cuts), strict=False):
+            if r not in waiting:
+                heapq.heappush(heap, r)
+                waiting[r] = []
+            waiting[r].append(part)
+
+    look(np.arange(n))
+    while heap:
+        r = heapq.heappop(heap)
+        places = np.unique(np.concatenate(waiting.pop(r)))
+        # Pairs that an earlier round changed or took away wait under their new rank, if any.
+        places = places[rank[places] == r]
+        if not len(places):
+            continue
+        places = places[_every_second(places, after[places])]
+        gone = after[places]
+        _, at = _looked_up(ids[places], ids[gone], v)
+        ids[places] = v.merged[at]
+        rank[gone] = _NONE
+        follow = after[gone]
+        after[places] = follow
+        before[follow[follow < n]] = places[follow < n]
+        ids[gone] = -1
+        left = before[places]
+        look(np.unique(np.concatenate([places, left[left < n]])))
+    kept = ids >= 0
+    return [part[keep].tolist() for part, keep in zip(np.split(ids, ends[:-1]), np.split(kept, ends[:-1]), strict=True)]
+
+
 def _normal(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # one character at a time: no final sigma

@@ -12,10 +12,10 @@ hashes agree, and otherwise the share of common spans that the sketches estimate
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,46 +176,79 @@ def _batch(ids: list, made: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())] + [pa.array([r[i] for r in made], kind) for i, (_, _, kind) in enumerate(_MADE)], ["doc_id", *[n for n, _, _ in _MADE]])
 
 
-def _cuts(bounds: list[int], value) -> "F.Column":
-    """How many of the sorted bounds are at most the value (null: none), in about 2 * sqrt(len(bounds)) comparisons."""
-    step = max(1, math.isqrt(len(bounds)))
-    coarse = F.lit(bounds[step - 1 :: step]).cast("array<bigint>")
-    skipped = F.size(F.filter(coarse, lambda b: b <= value)) * step
-    rest = F.slice(F.lit(bounds).cast("array<bigint>"), skipped + 1, step)
-    return skipped + F.when(skipped >= len(bounds), 0).otherwise(F.size(F.filter(rest, lambda b: b <= value)))
+class Ranges:
+    """The first keys of ranges of rows in order: null ids first, then ids, rows of one id by a hash of the text."""
 
+    def __init__(self, ids: np.ndarray, blank: np.ndarray, hashes: np.ndarray) -> None:
+        order = np.lexsort((hashes, ids, ~blank))
+        self.ids, self.blank, self.hashes = ids[order], blank[order], hashes[order]
+        self.n_blank = int(blank.sum())
 
-def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def of(self, ids: np.ndarray, blank: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's range, and whether its key is the range's first."""
+        named = self.ids[self.n_blank :]
+        low = np.where(blank, 0, self.n_blank + np.searchsorted(named, ids, "left"))
+        high = np.where(blank, self.n_blank, self.n_blank + np.searchsorted(named, ids, "right"))
+        at = low - 1
+        # Ids that begin a range, perhaps amid their rows, or several: those ranges are told apart by the hash.
+        one = high == low + 1
+        at[one] += hashes[one] >= self.hashes[low[one]]
+        for begin, end in set(zip(low[high > low + 1].tolist(), high[high > low + 1].tolist(), strict=True)):
+            rows = np.flatnonzero((low == begin) & (high == end))
+            at[rows] = begin + np.searchsorted(self.hashes[begin:end], hashes[rows], "right") - 1
+        at = np.maximum(at, 0)
+        return at, (self.blank[at] == blank) & (blank | (self.ids[at] == ids)) & (self.hashes[at] == hashes)
+
+
+_KEYS = "doc_id long, blank boolean, hash long"
+
+
+def _first_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of a partition that is in order."""
+    for batch in batches:
+        if len(batch):
+            yield batch.slice(0, 1)
+            return
+
+
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and edit_common_prefix of
     each row of ``docs`` (doc_id long, text string), held against the next one by ascending doc_id, after the last the first.
 
-    Null ids come first, rows of one id by ascending text, repeated rows one after another; a null text is empty; a lone
-    row is its own next one. Two empty texts have a likeness of 1, an empty and another of 0. Other columns are ignored.
+    Null ids come first, rows of one id by a hash of their text and then by the text, repeated rows one after another; a
+    null text is empty; a lone row is its own next one. Two empty texts have a likeness of 1, an empty and another of 0.
+    Other columns are ignored.
 
-    Ids are cut into ranges at approximate quantiles; each range becomes one partition (texts are moved once), and
-    gets besides the first rows of the next range. Only the ranges' bounds and first ids come to the driver.
+    Keys alone are sorted first, into ranges at bounds that the sort samples; the ranges' first keys, a bounded number,
+    come to the driver. Each range then becomes one partition (texts are moved once), and gets besides the first row of
+    the next range. Rows of one id are cut like any others; only equal rows stay together.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = buckets or partitions_for(rows)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("q")).first()["q"]
-    bounds = sorted(set(found or [])) if n > 1 else []
-    bucket = _cuts(bounds, F.col("doc_id")) if bounds else F.lit(0)
-    heads = ids.groupBy(bucket.cast("int").alias("bucket")).agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("blank")).collect()
-    heads = sorted((r["bucket"], None if r["blank"] else r["head"]) for r in heads)
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    size = len(bounds) + 1
-    head_of = dict(heads)
-    head = F.element_at(F.array(*[F.lit(head_of.get(b)).cast("long") for b in range(size)]), F.col("bucket") + 1)
-    lender = F.element_at(F.lit([before.get(b, 0) for b in range(size)]).cast("array<int>"), F.col("bucket") + 1)
-    own = F.struct(F.col("bucket").alias("part"), F.lit(0).alias("borrowed"))
-    lent = F.struct(lender.alias("part"), F.lit(1).alias("borrowed"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    n = ranges or partitions_for(rows)
+    keys = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("blank"), "hash")
+    order = [F.col("blank").desc(), "doc_id", "hash"]
+    heads = keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_first_key, _KEYS).toArrow() if n > 1 else keys.orderBy(*order).limit(1).toArrow()
+    found = Ranges(*[heads[c].to_numpy() for c in ("doc_id", "blank", "hash")])
+    sent, size = spark.sparkContext.broadcast(found), max(1, len(found))
+
+    @F.pandas_udf("struct<at:int,first:boolean>")
+    def place(ids: pd.Series, blank: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        at, first = sent.value.of(ids.to_numpy(), blank.to_numpy(), hashes.to_numpy())
+        return pd.DataFrame({"at": at.astype(np.int32), "first": first})
+
+    own = F.struct(F.col("place.at").alias("part"), F.lit(0).alias("borrowed"))
+    lent = F.struct(F.pmod(F.col("place.at") - 1, F.lit(size)).alias("part"), F.lit(1).alias("borrowed"))
     dealt = (
-        rows.withColumn("bucket", bucket.cast("int"))
-        .withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(head), F.array(own, lent)).otherwise(F.array(own))))
-        .select("doc_id", "text", F.col("to.part").alias("part"), F.col("to.borrowed").alias("borrowed"))
+        rows.withColumn("place", place(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("hash")))
+        .withColumn("to", F.explode(F.when(F.col("place.first"), F.array(own, lent)).otherwise(F.array(own))))
+        .select("doc_id", "text", "hash", F.col("to.part").alias("part"), F.col("to.borrowed").alias("borrowed"))
         .repartitionById(size, "part")
-        .sortWithinPartitions("borrowed", "doc_id", "text")
+        .sortWithinPartitions("borrowed", "doc_id", "hash", "text")
     )
     return dealt.select("doc_id", "text", "borrowed").mapInArrow(_walk, T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(m, t) for m, t, _ in _MADE]))

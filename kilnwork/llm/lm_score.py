@@ -35,9 +35,9 @@ IDS = BRANCH**3
 OTHER_BITS = 9
 EXACT = IDS - (1 << OTHER_BITS)
 #: Words in one training step, and the step's rate.
-STEP, RATE = 16_384, 0.25
+STEP, RATE = 8_192, 0.25
 #: Rounds, and the words of a shard.
-ROUNDS, SHARD = 4, 3_000_000
+ROUNDS, SHARD = 4, 1_500_000
 #: Floats in one row of parameters, and rows in one group of the averaging tree.
 BLOCK, FAN = 16_384, 64
 #: At most so many of the commonest words have their counts sent to every task, in a table of 2**SLOT_BITS slots.

@@ -21,8 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,79 +154,68 @@ def _dense(spread: np.ndarray, least: int, longest: int) -> np.ndarray:
     return np.cumsum(keep[:-1]) > 0
 
 
-def _sighted(sent, keep: list[str]):
-    """Rows with hits that could make an overlap: a key, the ``keep`` columns, the words and the hits."""
+def _sighted(sent):
+    """Texts (h1, h2, text) with hits that could make an overlap: their hashes and hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits, longest, least, short = sent.value
-        key = TaskContext.get().partitionId() << 40
+        masks = ([*MASKS] if longest else []) + [whole(n) for n in short]
         for batch in batches:
-            column = batch.column(len(keep))
-            for x, y in slices(column):
-                w = tokens(column.slice(x, y - x))
+            for x, y in slices(batch.column(2)):
+                w = tokens(batch.column(2).slice(x, y - x))
                 text, ends = w.text_of_word(), np.repeat(w.first[1:], w.counts)
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                for mask in ([*MASKS] if longest else []) + [whole(n) for n in short]:
+                places, found = [], []
+                for mask in masks:
                     s = seeds(w.hash, mask)
                     spot = s >> U(64 - bits)
                     at = np.flatnonzero((table[(spot >> U(6)).astype(np.int64)] >> (spot & U(63))) & U(1))
                     at = at[at + mask[-1] < ends[at]]
-                    found.append((at, s[at]))
+                    places.append(at)
+                    found.append(s[at])
                 # Hits of long items stand several together; texts lie apart by more than the longest item.
-                n_long = len(MASKS) if longest else 0
-                place, seed = (np.concatenate([f[i] for f in found[:n_long]] or [np.zeros(0, d)]) for i, d in ((0, np.int64), (1, U)))
-                if len(place):
-                    order = np.argsort(place, kind="stable")
-                    place, seed = place[order], seed[order]
-                    dense = _dense(place + text[place] * longest, least, longest)
-                    place, seed = place[dense], seed[dense]
-                place, seed = np.concatenate([place, *[f[0] for f in found[n_long:]]]), np.concatenate([seed, *[f[1] for f in found[n_long:]]])
-                if not len(place):
-                    continue
-                order = np.argsort(place, kind="stable")
-                place, seed = place[order], seed[order]
-                of = text[place]
-                rows, n_hits = np.unique(of, return_counts=True)
-                sizes = w.counts[rows]
-                own = np.concatenate([w.hash[w.first[t] : w.first[t + 1]] for t in rows.tolist()])
-                made = [
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(own.view(np.int64))),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum(n_hits)]).astype(np.int32)),
-                        pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array((place - w.first[of]).astype(np.int32))], ["seed", "place"]),
-                    ),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(key + rows), *[batch.column(i).slice(x, y - x).take(pa.array(rows)) for i in range(len(keep))], *made], ["key", *keep, "text_words", "hits"])
-                key += y - x
+                n_long = sum(map(len, places[: len(MASKS)])) if longest else 0
+                place, seed = np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, U)])
+                order = np.argsort(place[:n_long], kind="stable")
+                dense = order[_dense(place[order] + text[place[order]] * longest, least, longest)] if n_long else order
+                chosen = np.concatenate([dense, np.arange(n_long, len(place))])
+                chosen = chosen[np.argsort(place[chosen], kind="stable")]
+                if len(chosen):
+                    place, seed = place[chosen], seed[chosen]
+                    rows, n_hits = np.unique(text[place], return_counts=True)
+                    hit = pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array((place - w.first[text[place]]).astype(np.int32))], ["seed", "place"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_hits)]).astype(np.int32)), hit)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(x, y - x).take(pa.array(rows)) for i in range(2)], lists], ["h1", "h2", "hits"])
 
     return run
 
 
 def _verified(keep: list[str]):
-    """Each row's overlaps with its candidate items."""
+    """Each row's overlaps with its candidate items. Columns: ``keep``, text, found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, found = batch.column(len(keep)), batch.column(len(keep) + 1)
+            found = batch.column(len(keep) + 1)
+            kind = found.type.value_type.field("item_id").type
             row, ids, made = [], [], []
-            for r in range(len(held)):
-                w, items = held[r].values.to_numpy(), found[r].values
-                own, diagonals, least = items.field("own"), items.field("diagonals"), items.field("needed").to_pylist()
-                for k in range(len(items)):
-                    v, best = own[k].values.to_numpy(), (1, 0, 0)
-                    for g in diagonals[k].values.to_numpy().tolist():
-                        a, b = max(0, g), min(len(w), g + len(v))
-                        equal, begin, end = best_stretch(w[a:b] == v[a - g : b - g])
-                        if equal >= least[k]:
-                            best = min(best, (-equal, a + begin, a + end))
-                    if best[0] < 0:
-                        row.append(r)
-                        ids.append(items.field("item_id")[k])
-                        made.append((-best[0], best[1], best[2], -best[0] / (best[2] - best[1])))
+            for x, y in slices(batch.column(len(keep))):
+                w = tokens(batch.column(len(keep)).slice(x, y - x))
+                for r in range(x, y):
+                    own, items = w.hash[w.first[r - x] : w.first[r - x + 1]], found[r].values
+                    hashes, diagonals, least = items.field("own"), items.field("diagonals"), items.field("needed").to_pylist()
+                    for k in range(len(items)):
+                        v, best = hashes[k].values.to_numpy().view(U), (1, 0, 0)
+                        for g in diagonals[k].values.to_numpy().tolist():
+                            a, b = max(0, g), min(len(own), g + len(v))
+                            equal, begin, end = best_stretch(own[a:b] == v[a - g : b - g])
+                            if equal >= least[k]:
+                                best = min(best, (-equal, a + begin, a + end))
+                        if best[0] < 0:
+                            row.append(r)
+                            ids.append(items.field("item_id")[k].as_py())
+                            made.append((-best[0], best[1], best[2], -best[0] / (best[2] - best[1])))
             if row:
                 columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-                kind = found.type.value_type.field("item_id").type
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(row)) for i in range(len(keep))], pa.array([i.as_py() for i in ids], kind), *columns], [*keep, "item_id", "n_equal", "first_word", "end_word", "share"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(row)) for i in range(len(keep))], pa.array(ids, kind), *columns], [*keep, "item_id", "n_equal", "first_word", "end_word", "share"])
 
     return run
 
@@ -240,37 +228,44 @@ def _dealt(hits: DataFrame, bench: Benchmark, most_broadcast: int, hot: int) ->
     often = stored(hits.groupBy("seed").count().where(F.col("count") > hot).select("seed", F.lit(SALTS).alias("salts")), "often")
     often = F.broadcast(often) if often.count() <= most_broadcast else often
     salts = F.coalesce("salts", F.lit(1))
-    left = hits.join(often, "seed", "left").select("key", "seed", "place", F.pmod(F.xxhash64("key", "place"), salts).cast("int").alias("salt"))
+    left = hits.join(often, "seed", "left").select("h1", "h2", "seed", "place", F.pmod(F.xxhash64("h1", "h2", "place"), salts).cast("int").alias("salt"))
     right = bench.postings.join(often, "seed", "left").select("seed", "item", "least", "at", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     return left.join(right, ["seed", "salt"])
 
 
 def _found(rows: DataFrame, keep: list[str], benchmark: DataFrame, most_broadcast: int, hot: int) -> DataFrame:
-    """The ``keep`` columns and the overlaps' of ``rows`` (keep, text)."""
+    """The ``keep`` columns and the overlaps' of ``rows`` (keep, h1 and h2, which tell texts apart, and text)."""
     bounded_batches(rows.sparkSession)
     bench = Benchmark(benchmark)
-    held = [rows.schema[c] for c in keep]
-    hit = T.StructType([T.StructField("seed", T.LongType()), T.StructField("place", T.IntegerType())])
-    schema = T.StructType([T.StructField("key", T.LongType()), *held, T.StructField("text_words", T.ArrayType(T.LongType())), T.StructField("hits", T.ArrayType(hit))])
-    sighted = stored(rows.select(*keep, "text").mapInArrow(_sighted(bench.sent, keep), schema), "sighted")
-    hits = sighted.select("key", F.explode("hits").alias("h")).select("key", "h.seed", "h.place")
+    sighted = stored(rows.select("h1", "h2", "text").mapInArrow(_sighted(bench.sent), "h1 long, h2 long, hits array<struct<seed:long,place:int>>"), "sighted")
+    hits = sighted.select("h1", "h2", F.explode("hits").alias("h")).select("h1", "h2", "h.seed", "h.place")
+    # Copies of a text add to each other's hits: more diagonals are compared, none fewer.
     diagonals = (
         _dealt(hits, bench, most_broadcast, hot)
-        .groupBy("key", "item", (F.col("place") - F.col("at")).alias("diagonal"))
+        .groupBy("h1", "h2", "item", (F.col("place") - F.col("at")).alias("diagonal"))
         .agg(F.count(F.lit(1)).alias("hits"), F.max("least").alias("least"))
         .where("hits >= least")
     )
-    # One document's candidates meet in one row: at most its hits' diagonals.
+    # One text's candidates meet in one row: at most its hits' diagonals.
     candidates = (
-        diagonals.groupBy("key", "item")
+        diagonals.groupBy("h1", "h2", "item")
         .agg(F.collect_list("diagonal").alias("diagonals"))
         .join(bench.items.select("item", "item_id", "needed", "own"), "item")
-        .groupBy("key")
+        .groupBy("h1", "h2")
         .agg(F.collect_list(F.struct("item_id", "needed", "own", "diagonals")).alias("found"))
     )
-    item_id = benchmark.schema["item_id"]
-    out = T.StructType([*held, T.StructField("item_id", item_id.dataType), *[T.StructField(c, T.LongType()) for c in ("n_equal", "first_word", "end_word")], T.StructField("share", T.DoubleType())])
-    return sighted.drop("hits").join(candidates, "key").select(*keep, "text_words", "found").mapInArrow(_verified(keep), out)
+    candidates = stored(candidates, "candidates")
+    # Few texts have candidates; the others' rows stay where they are.
+    if candidates.count() <= most_broadcast:
+        rows = rows.join(F.broadcast(candidates.select("h1").distinct()), "h1", "left_semi")
+    held = [rows.schema[c] for c in keep]
+    out = T.StructType([*held, T.StructField("item_id", benchmark.schema["item_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_equal", "first_word", "end_word")], T.StructField("share", T.DoubleType())])
+    return rows.join(candidates, ["h1", "h2"]).select(*keep, "text", "found").mapInArrow(_verified(keep), out)
+
+
+def _keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of each text, in two longs; null counts as empty."""
+    return tuple(F.xxhash64(*salt, F.coalesce(docs["text"], F.lit(""))) for salt in ((), (F.lit(1),)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST, hot: int = HOT) -> DataFrame:
@@ -281,13 +276,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_B
     Null and empty texts overlap nothing. Repeated rows of either table each give rows; null ids are kept. Other
     columns are ignored. A benchmark of more than most_broadcast seeds is shuffled, with seeds of more than ``hot`` hits salted.
     """
-    return _found(docs, ["doc_id"], benchmark, most_broadcast, hot)
+    h1, h2 = _keyed(docs)
+    return _found(docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text"), ["doc_id"], benchmark, most_broadcast, hot)
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` that overlap no item, unchanged. Rows of equal texts go or stay together."""
-    h1, h2 = (F.xxhash64(*salt, F.coalesce(docs["text"], F.lit(""))) for salt in ((), (F.lit(1),)))
-    rows = docs.select(h1.alias("_kw_h1"), h2.alias("_kw_h2"), "text")
-    dirty = stored(_found(rows, ["_kw_h1", "_kw_h2"], benchmark, most_broadcast, hot).select("_kw_h1", "_kw_h2").distinct(), "dirty")
+    h1, h2 = _keyed(docs)
+    found = _found(docs.select(h1.alias("h1"), h2.alias("h2"), "text"), ["h1", "h2"], benchmark, most_broadcast, hot)
+    dirty = stored(found.select(F.col("h1").alias("_kw_h1"), F.col("h2").alias("_kw_h2")).distinct(), "dirty")
     small = dirty.count() <= most_broadcast
     return docs.join(F.broadcast(dirty) if small else dirty, (h1 == F.col("_kw_h1")) & (h2 == F.col("_kw_h2")), "left_anti")

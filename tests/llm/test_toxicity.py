@@ -1,5 +1,7 @@
+import functools
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -25,24 +27,71 @@ def test_kernel_against_brute_force():
     assert np.allclose(tx.cosine(["idiot", "ab", "x"], ["idiot", "ab", "y"]), [1, 1, 0])
 
 
-def lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
-        row = new
-    return row[-1]
+def windows(word, mark):
+    """All windows that count for a landmark, the whole word if it is shorter."""
+    sizes = range(len(mark) - 1, len(mark) + tx.WIDER + 1)
+    return {word[a : a + n] for n in sizes for a in range(max(1, len(word) - n + 1))}
 
 
-def test_candidates_lose_none():
+@functools.cache
+def weights(text):
+    """The weight of each subsequence of ORDER characters, over all places."""
+    out: dict = {}
+    for at in itertools.combinations(range(len(text)), tx.ORDER):
+        u = "".join(text[i] for i in at)
+        out[u] = out.get(u, 0.0) + tx.DECAY ** (at[-1] - at[0] + 1)
+    return out
+
+
+def best_value(word, mark):
+    """By the definition, window by window."""
+    norm = lambda w: sum(v * v for v in w.values()) ** 0.5
+    own, best = weights(mark), 0.0
+    for window in windows(word, mark) if len(word) >= tx.ORDER else ():
+        here, alone = weights(window), weights("".join(c for c in window if c in mark))
+        if alone:
+            best = max(best, sum(v * here.get(u, 0.0) for u, v in own.items()) / (norm(own) * norm(alone)))
+    return best if best >= tx.LEAST else 0.0
+
+
+def test_no_value_that_counts_is_lost():
     rng = random.Random(2)
-    marks = ["idiot", "scum", "worthless", "résumé"]
-    words = ["".join(rng.choice("idiotscumwrthlesré") for _ in range(rng.randint(1, 20))) for _ in range(3000)] + marks
-    x, k = tx.Matcher(marks)._candidates(words)
-    got = set(zip(x.tolist(), k.tolist()))
-    expected = {(i, j) for i, w in enumerate(words) for j, m in enumerate(marks) if lcs(w, m) >= len(m) - (len(m) >= 8)}
-    assert expected <= got and len(expected) > 10
+    marks = ["idiot", "scum", "worthless", "résumé", "stupid", "aaaa"]
+    words = ["".join(rng.choice("idiotscumwrthlesréap") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    for m in marks:
+        for _ in range(30):
+            w = list(m)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "i"])
+            words.append(rng.choice(["", "pre", "un"]) + "".join(w) + rng.choice(["", "s", "isch", "x" * 30]))
+    matcher = tx.Matcher(marks)
+    matcher.learn(set(words))
+    found = 0
+    for w in set(words):
+        expected = [best_value(w, m) for m in marks]
+        found += sum(v > 0 for v in expected)
+        got = matcher.values([w])
+        assert np.allclose(np.zeros(len(marks)) if got is None else got, expected), w
+    assert found > 80
+
+
+def test_documents_score_against_brute_force():
+    """A document's score by its definition: every sentence, word, window and landmark."""
+    train, test = corpus(1, 400), corpus(2, 25)
+    model = tx.fit([t for _, t, _ in train], [y for *_, y in train])
+    marks = model.matcher.landmarks
+    held: dict = {}
+    for text, p in zip([t for _, t, _ in test], model.scores([t for _, t, _ in test])):
+        best = model.bias
+        for sentence in tx.sentences(text):
+            k = np.zeros(len(marks))
+            for w in tx.plain_words(sentence):
+                if w not in held:
+                    held[w] = np.array([best_value(w, m) for m in marks])
+                k = np.maximum(k, held[w])
+            best = max(best, k @ model.weights + model.bias)
+        assert abs(p - 1 / (1 + np.exp(-np.clip(model.slope * best + model.shift, -40, 40)))) < 1e-9
 
 
 def corpus(seed, n):
@@ -70,6 +119,36 @@ def test_held_out_and_altered_insults():
     assert (model.scores(["", "an editor on the tirade", "12345", "i o n"]) < 0.3).all()
 
 
+def test_recall_by_kind_of_change():
+    train = corpus(1, 900)
+    model = tx.fit([t for _, t, _ in train], [y for *_, y in train])
+    rng = random.Random(5)
+
+    def recall(word, change, n=40):
+        return (model.scores([f"such an {change(word)} there" for _ in range(n)]) >= 0.3).mean()
+
+    def inserted(m):
+        def change(w):
+            w = list(w)
+            for _ in range(m):
+                w.insert(rng.randint(1, len(w) - 1), rng.choice("xqzvk"))
+            return "".join(w)
+
+        return change
+
+    for word in ("idiot", "moron", "pathetic"):
+        assert recall(word, inserted(1)) == 1
+        assert recall(word, inserted(2)) >= 0.9
+    assert recall("pathetic", lambda w: w[: (i := rng.randrange(len(w)))] + w[i + 1 :]) >= 0.9
+
+
+def test_landmarks_are_chosen_quickly():
+    train = [({w for s in tx.sentences(t) for w in tx.plain_words(s)}, y) for _, t, y in corpus(4, 4500)]
+    began = time.time()
+    marks = tx.pick_landmarks([t for t, y in train if y], [t for t, y in train if not y])
+    assert time.time() - began < 5 and {"idiot", "moron", "pathetic"} <= set(marks)
+
+
 def test_documents(spark):
     rows = [(i, t, "clash") for i, t, _ in corpus(3, 200)] + [(None, None, "c"), (700, "", "c"), (700, "", "c"), (701, "an er " * 40_000 + "idiot", "c"), (702, "x" * 100_000, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")

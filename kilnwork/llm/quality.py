@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.llm.shared import bounded_batches
+from kilnwork.llm.shared import bounded_batches, sample_texts
 from kilnwork.llm.textops import SPACED, class_table, mix, powers, slices, words
 
 U = np.uint64
@@ -170,10 +170,10 @@ def fit(texts: list[str | None] | pa.ChunkedArray, grades: list[float], epochs:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` rows of ``labels`` (doc_id, quality) that have a grade and a document."""
+    """Fit on at most ``most`` rows of ``labels`` (doc_id, quality) that have a grade and a document, and at most SAMPLE_BYTES of text."""
     bounded_batches(docs.sparkSession)
     some = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "quality", F.xxhash64("text")).limit(2 * most).toArrow()
+    found = sample_texts(docs, some, "quality").limit(2 * most).toArrow()
     return fit(found["text"], [float(g) for g in found["quality"].to_pylist()])
 
 

@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
 A template is a label, the words of a notice and the phrases that it can't be without. The corpus gives each template
-word its inverse document frequency. Each phrase and notice is indexed under its rarest words: a file's occurrences of
-such words, the highest-IDF licence words that it has, look up postings (template, position), and each posting says
-where the template would begin. The other words' postings are intersected at that relative position, with some slack in
-long notices; a place counts if the mandatory phrases stand there word for word.
+word its inverse document frequency. The index has postings (template, position) of every template word. Of each file
+its licence words are looked up from the rarest on, until every template of which it has words has ANCHORS of them:
+each place of such a word, with each of its postings, says where the template would begin. There the postings of all
+words around are intersected by their relative positions, with some slack in long notices; a place counts if they have
+most of the template's IDF and the mandatory phrases stand there word for word.
 
 Base phrases are templates whose phrase is the whole notice; they count wherever they stand.
 """
@@ -32,6 +33,8 @@ NOTICES = [
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["licensed under the apache license version 2 0"]),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     ("gpl-2", "this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license as published by the free software foundation", "version 3 of the license"]),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published by the free software foundation", "version 2 of the license"]),
     ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
@@ -43,7 +46,7 @@ NOTICES = [
     ("cc0", "licensed under cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
-#: Words of a template that are looked up, and the share of its IDF that a place must have.
+#: Words of a file that say where a notice would begin, and the share of its IDF that a place must have.
 ANCHORS, LEAST = 3, 0.6
 #: Words that may have come or gone between two words of a notice, one for each so many words of it.
 SLACK = 8
@@ -67,63 +70,89 @@ def _hashes(ws: list[str]) -> np.ndarray:
 
 
 class Index:
-    """Templates under their rarest words, given the number of documents and of those that have each template word."""
+    """Postings of template words, given the number of documents and of those that have each template word."""
 
     def __init__(self, found: list[Template], n_docs: int, having: dict[str, int]) -> None:
         self.templates = found
         vocabulary = sorted({w for t in found for w in t.words})
-        self.idf_of = {w: math.log((n_docs + 1) / (having.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-        self.hashes = [_hashes(t.words) for t in found]
-        self.idf = [np.array([self.idf_of[w] for w in t.words]) for t in found]
+        idf_of = {w: math.log((n_docs + 1) / (having.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
+        self.idf = [np.array([idf_of[w] for w in t.words]) for t in found]
         self.phrases = [[[w.encode() for w in p] for p in t.phrases] for t in found]
-        postings: dict[int, list[tuple[int, int]]] = {}
+        # Words by number, the rarest first, and their hashes in order.
+        names = sorted(vocabulary, key=lambda w: (-idf_of[w], w))
+        hashes = _hashes(names)
+        order = np.argsort(hashes)
+        self.keys, self.number = hashes[order], order
+        number = {w: i for i, w in enumerate(names)}
+        self.postings: list[dict[int, list[int]]] = [{} for _ in names]
         for i, t in enumerate(found):
-            rare = sorted(set(t.words), key=lambda w: (-self.idf_of[w], w))[: 1 if t.base else ANCHORS]
             for at, w in enumerate(t.words):
-                # Every place of a base phrase has its rarest word once at the word's first position.
-                if w in rare and (not t.base or at == t.words.index(w)):
-                    postings.setdefault(int(self.hashes[i][at]), []).append((i, at))
-        self.keys = np.array(sorted(postings), np.uint64)
-        self.postings = [postings[int(k)] for k in self.keys]
+                self.postings[number[w]].setdefault(i, []).append(at)
+        self.distinct = [len(set(t.words)) for t in found]
 
     def scan(self, w: Words) -> list[tuple[int, list[tuple[int, int]], dict[str, float]]]:
         """For each text: words, places (start, base template), and the score of each further label."""
-        counts, out = w.counts, []
         at = np.minimum(np.searchsorted(self.keys, w.hash), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[at] == w.hash)
-        text = np.searchsorted(w.first, hits, "right") - 1
-        places: dict[int, set[tuple[int, int]]] = {}
-        for h, k, t in zip(hits.tolist(), at[hits].tolist(), text.tolist(), strict=True):
-            for i, pos in self.postings[k]:
-                places.setdefault(t, set()).add((h - pos, i))
-        for t, n in enumerate(counts.tolist()):
-            begin, end = int(w.first[t]), int(w.first[t + 1])
-            base: list[tuple[int, int]] = []
-            labels: dict[str, float] = {}
-            for start, i in sorted(places.get(t, ())):
-                m = self.templates[i]
-                if m.base:
-                    if begin <= start and start + len(m.words) <= end and self._stands(w, start, self.phrases[i][0]):
-                        base.append((start - begin, i))
-                else:
-                    score = self._score(w, start, i, begin, end)
-                    if score >= LEAST:
-                        labels[m.label] = max(score, labels.get(m.label, 0.0))
-            out.append((n, base, labels))
+        word = self.number[at[hits]]
+        cuts = np.searchsorted(hits, w.first)
+        out = []
+        for t, n in enumerate(w.counts.tolist()):
+            a, b = cuts[t], cuts[t + 1]
+            out.append((n, *self._file(w, int(w.first[t]), int(w.first[t + 1]), hits[a:b], word[a:b])))
         return out
 
+    def _file(self, w: Words, begin: int, end: int, places: np.ndarray, word: np.ndarray) -> tuple[list[tuple[int, int]], dict[str, float]]:
+        base: list[tuple[int, int]] = []
+        labels: dict[str, float] = {}
+        have = np.unique(word).tolist()
+        owned: dict[int, int] = {}
+        for k in have:
+            for i in self.postings[k]:
+                owned[i] = owned.get(i, 0) + 1
+        # A base phrase needs all its words, a notice most of its IDF.
+        open_ = {i for i, n in owned.items() if n == self.distinct[i] or not self.templates[i].base and self._share(i, have) >= LEAST}
+        left = {i: 1 if self.templates[i].base else ANCHORS for i in open_}
+        starts: set[tuple[int, int]] = set()
+        for k in have:
+            wanted = [i for i in self.postings[k] if left.get(i, 0) > 0]
+            if wanted:
+                here = places[word == k].tolist()
+                for i in wanted:
+                    left[i] -= 1
+                    starts.update((h - pos, i) for h in here for pos in (self.postings[k][i] if not self.templates[i].base else self.postings[k][i][:1]))
+            if not any(left.values()):
+                break
+        for start, i in sorted(starts):
+            m = self.templates[i]
+            if m.base:
+                if begin <= start and start + len(m.words) <= end and self._stands(w, start, self.phrases[i][0]):
+                    base.append((start - begin, i))
+            else:
+                score = self._score(w, start, i, begin, end, places, word)
+                if score >= LEAST:
+                    labels[m.label] = max(score, labels.get(m.label, 0.0))
+        return base, labels
+
+    def _share(self, i: int, have: list[int]) -> float:
+        """The share of a notice's IDF that words of a file could give."""
+        own = self.idf[i]
+        return sum(own[at] for k in have for at in self.postings[k].get(i, ())) / own.sum()
+
     def _stands(self, w: Words, start: int, phrase: list[bytes]) -> bool:
         return all(w.word(start + j).lower() == p for j, p in enumerate(phrase))
 
-    def _score(self, w: Words, start: int, i: int, begin: int, end: int) -> float:
-        """The share of a notice's IDF found at its place, 0 unless each mandatory phrase stands there."""
-        own, idf = self.hashes[i], self.idf[i]
-        slack = len(own) // SLACK
-        a, b = max(begin, start - slack), min(end, start + len(own) + slack)
-        here = w.hash[a:b]
-        wanted = np.arange(len(own)) + start - a
-        near = np.abs(np.arange(len(here))[:, None] - wanted[None, :]) <= slack
-        found = ((here[:, None] == own[None, :]) & near).any(axis=0)
+    def _score(self, w: Words, start: int, i: int, begin: int, end: int, places: np.ndarray, word: np.ndarray) -> float:
+        """The share of a notice's IDF whose postings meet a place of their word within the slack, 0 unless each mandatory phrase stands there."""
+        n, idf = len(self.templates[i].words), self.idf[i]
+        slack = n // SLACK
+        a, b = max(begin, start - slack), min(end, start + n + slack)
+        low, high = np.searchsorted(places, [a, b])
+        found = np.zeros(n, bool)
+        for p, k in zip(places[low:high].tolist(), word[low:high].tolist(), strict=True):
+            for pos in self.postings[k].get(i, ()):
+                if abs(p - start - pos) <= slack:
+                    found[pos] = True
         score = float(idf[found].sum() / idf.sum())
         if score < LEAST:
             return 0.0

@@ -1,5 +1,9 @@
+import math
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from kilnwork.llm import licenses as li
 
@@ -34,5 +38,49 @@ def test_notices(spark):
     assert got[1] == ("gpl-3", 1.0) and got[2][0] == "bsd" and li.LEAST <= got[2][1] < 1 and got[3] == ("", 0.0) and got[4] == ("mit", 1.0) and got[5] == ("", 0.0)
 
 
+def plain_labels(text, having, n_docs):
+    """Labels and the best score by a sliding comparison of every notice with the text, from the places that its rarest words give."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    idf = lambda x: math.log((n_docs + 1) / (having.get(x, 0) + 1)) + 1e-3
+    labels, best = {label for label, p in li.BASE if any(ws[i : i + len(p.split())] == p.split() for i in range(len(ws)))}, 0.0
+    if labels:
+        best = 1.0
+    for label, notice, phrases in li.NOTICES:
+        own = notice.split()
+        total, slack = sum(map(idf, own)), len(own) // li.SLACK
+        anchors = sorted({x for x in own if x in ws}, key=lambda x: (-idf(x), x))[: li.ANCHORS]
+        for start in {i - j for i, x in enumerate(ws) for j, v in enumerate(own) if x == v and x in anchors}:
+            a, b = max(0, start - slack), min(len(ws), start + len(own) + slack)
+            score = sum(idf(x) for j, x in enumerate(own) if any(a <= p < b and ws[p] == x for p in range(start + j - slack, start + j + slack + 1))) / total
+            if score >= li.LEAST and all(any(ws[p : p + len(q.split())] == q.split() for p in range(a, b - len(q.split()) + 1)) for q in phrases):
+                labels.add(label)
+                best = max(best, min(1.0, score))
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_scores_against_a_sliding_comparison(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(120):
+        own = rng.choice([n for _, n, _ in li.NOTICES] + [p for _, p in li.BASE]).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["the"], ["license"]])
+        texts.append(" ".join([rng.choice(["a", "the", "license", "software", "of", "z"]) for _ in range(rng.randint(0, 15))] + own + ["the", "work"]))
+    having = Counter(x for t in texts for x in set(t.split()))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.labels, r.score) for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(x) for x, _ in got.values()) > 60
+    for i, t in rows:
+        labels, best = plain_labels(t, having, len(rows))
+        assert got[i] == (labels, pytest.approx(best)), t
+
+
+def test_published_header(spark):
+    text = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    row = li.scan(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert row.labels == "gpl-3" and row.score > 0.9
+
+
 def test_empty_table(spark):
     assert li.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

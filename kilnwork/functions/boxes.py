@@ -49,10 +49,21 @@ def holds(b: Column, x: Column, y: Column) -> Column:
     return x.between(F.least(b["x1"], b["x2"]), F.greatest(b["x1"], b["x2"])) & y.between(F.least(b["y1"], b["y2"]), F.greatest(b["y1"], b["y2"]))
 
 
-def pixels_per_cm(p: Column, q: Column, cm: Column) -> Column:
-    """The scale of two points at a known distance, to four places; null for less than 5 pixels or no length."""
+def pixels_per_cm(p: Column, q: Column, cm: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """The scale of two points at a known distance, to six places; null for less than 5 pixels, no length, or points beyond the page."""
     d = F.hypot(p["x"] - q["x"], p["y"] - q["y"])
-    return F.when((d >= 5) & (cm > 0), F.round(d / cm, 4))
+    inside = F.lit(True)
+    if width is not None and height is not None:
+        for c in (p, q):
+            inside = inside & c["x"].between(0, width) & c["y"].between(0, height)
+    return F.when((d >= 5) & (cm > 0) & inside, F.round(d / cm, 6))
+
+
+def verified_measurement(value: Column, p: Column, q: Column, px_per_cm: Column) -> Column:
+    """struct(verified_cm, status, method) of a reviewer's value, else of two end points and a scale; null unless positive and finite."""
+    found = F.coalesce(value, F.when(px_per_cm > 0, F.hypot(p["x"] - q["x"], p["y"] - q["y"]) / px_per_cm))
+    good = (found > 0) & (found < float("inf")) & ~F.isnan(found)
+    return F.when(good, F.struct(found.alias("verified_cm"), F.lit("verified_manual").alias("status"), F.lit("manual").alias("method")))
 
 
 def diameter_decision(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import numpy as np
 
@@ -205,20 +206,56 @@ def synthetic_query(curve: np.ndarray, seed: int, coverage: float, noise: float)
     return scale * part @ np.array([[c, -s], [s, c]]) + shift
 
 
-def header_score(seen: str, wanted: str) -> float:
-    """1 for the same heading, .84 or .70 where one begins the other, else the share of matching blocks."""
-    a, b = seen.strip().lower(), wanted.strip().lower()
-    if a == b:
-        return 1.0
-    if a and b and (a.startswith(b) or b.startswith(a)):
-        return 0.84 if min(len(a), len(b)) >= 3 else 0.70
-    return difflib.SequenceMatcher(None, a, b).ratio()
+def header_score(seen: str, wanted: tuple[str, ...] | str) -> float:
+    """The best of a heading's spellings, letters and digits alone: 1 for the same, .84 (.70 below three letters) where one
+    begins the other, else the share of matching blocks; 0 for a blank."""
+    plain = lambda t: "".join(c for c in (t or "").lower() if c.isascii() and c.isalnum())
+    a, best = plain(seen), 0.0
+    for b in map(plain, (wanted,) if isinstance(wanted, str) else wanted) if a else ():
+        if a == b:
+            score = 1.0
+        elif a.startswith(b) or b.startswith(a):
+            score = 0.84 if min(len(a), len(b)) >= 3 else 0.70
+        else:
+            score = difflib.SequenceMatcher(None, a, b).ratio()
+        best = max(best, score)
+    return best
+
+
+def split_heading(text: str, left: float, right: float, known: set[str]) -> list[tuple[str, float, float]]:
+    """A token that holds two to nine words, two of them known headings, as one token for each word, by their lengths."""
+    parts = re.findall(r"[A-Za-z]+(?:/[A-Za-z]+)?", text)
+    plain = ["".join(c for c in p.lower() if c.isalnum()) for p in parts]
+    if not 2 <= len(parts) <= 9 or sum(p in known for p in plain) < 2:
+        return [(text, left, right)]
+    total, at, out = sum(map(len, parts)), left, []
+    for p in parts:
+        width = (right - left) * len(p) / total
+        out.append((p, at, at + width))
+        at += width
+    return out
+
+
+def merged_rules(rules: list[tuple[int, int, int, int]], height: int) -> list[tuple[int, int, int, int]]:
+    """Rules (y, left, right, thickness) of at least .7 of the longest, those within max(3, .0018 of the height) of the one
+    before as one: its mean height, and the widest reach of both."""
+    if not rules:
+        return []
+    longest, near = max(r[2] - r[1] for r in rules), max(3, round(height * 0.0018))
+    out: list[tuple[int, int, int, int]] = []
+    for y, left, right, thick in sorted(r for r in rules if r[2] - r[1] >= 0.7 * longest):
+        if out and abs(y - out[-1][0]) <= near:
+            a = out[-1]
+            out[-1] = round((a[0] + y) / 2), min(a[1], left), max(a[2], right), max(a[3], thick)
+        else:
+            out.append((y, left, right, thick))
+    return out
 
 
-def lines_of(centres: np.ndarray, heights: np.ndarray) -> np.ndarray:
-    """The line of each token (by its centre, top first): a new one where a centre is beyond the running mean by max(5, .65 median height)."""
+def lines_of(centres: np.ndarray, heights: np.ndarray, least: float = 5.0, share: float = 0.65, most: float = np.inf) -> np.ndarray:
+    """The line of each token (by its centre, top first): a new one where a centre is beyond the running mean by ``share`` of the median height, at least ``least`` and at most ``most``."""
     order = np.argsort(centres, kind="stable")
-    gap = max(5.0, 0.65 * float(np.median(heights))) if len(heights) else 5.0
+    gap = max(least, min(most, share * float(np.median(heights)))) if len(heights) else least
     out = np.zeros(len(centres), int)
     line, total, n = -1, 0.0, 0
     for i in order.tolist():

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kilnwork.functions.text import token_set
+
 #: 97.5 percent point of the normal distribution (fixed value).
 Z = 1.959963984540054
 #: Weights of the shape terms (fixed values).
@@ -46,10 +50,10 @@ def soft_distance(d: Column, scale: float) -> Column:
 
 
 def diameter_similarity(a: Column, b: Column, sigma_a: Column, sigma_b: Column) -> Column:
-    """1 / (1 + (difference / scale)**4); 0.5 where either is missing."""
+    """1 / (1 + (difference / scale)**4); 0.5 where either is missing or not above zero."""
     scale = F.greatest(F.lit(6.0), 0.3 * (a + b) / 2, 2.5 * F.sqrt(sigma_a * sigma_a + sigma_b * sigma_b))
     ratio = F.abs(a - b) / scale
-    return F.coalesce(1 / (1 + ratio * ratio * ratio * ratio), F.lit(0.5))
+    return F.coalesce(F.when((a > 0) & (b > 0), 1 / (1 + ratio * ratio * ratio * ratio)), F.lit(0.5))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -58,57 +62,137 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def categorical_similarity(a: Column, b: Column) -> Column:
-    return 0.12 + 0.88 * jaccard(a, b)
+    """Of two sets of codes; 0.5 where either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), 0.12 + 0.88 * jaccard(a, b)).otherwise(0.5)
 
 
 def ordinal_similarity(a: Column, b: Column) -> Column:
-    """From the least gap between two arrays of codes; 0.5 where either is empty."""
+    """From the least gap between two arrays of ranks; 0.5 where either is empty."""
     gaps = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y).cast("double"))))
     return F.coalesce(soft_distance(F.array_min(gaps), 1.25), F.lit(0.5))
 
 
-def void_similarity(types_a: Column, types_b: Column, size_a: Column, size_b: Column) -> Column:
-    return 0.65 * jaccard(types_a, types_b) + 0.35 * F.coalesce(soft_distance(F.abs(size_a - size_b), 1.25), F.lit(0.5))
+#: Codes in order (fixed values).
+ORDINALS = {
+    "size": {str(i): i for i in range(1, 8)},
+    "density": {"VL": 1, "L": 2, "M": 3, "MH": 4, "H": 5},
+    "shape": {"A": 1, "SA": 2, "SR": 3, "R": 4},
+}
+#: Codes of kinds of voids (fixed values).
+VOID_TYPES = ["FS", "FC", "PR", "PA", "JR", "JH", "JB", "JD"]
+
+
+def ranks(codes: Column, kind: str) -> Column:
+    """The ranks of those codes that the kind has."""
+    order = F.create_map(*[F.lit(x) for kv in ORDINALS[kind].items() for x in kv])
+    return F.filter(F.transform(codes, lambda x: order[x]), lambda x: x.isNotNull())
+
+
+def void_similarity(a: Column, b: Column) -> Column:
+    """Of two sets of codes: kinds of voids (0.5 where either has none) and sizes."""
+    kinds = F.array(*map(F.lit, VOID_TYPES))
+    x, y = F.array_intersect(a, kinds), F.array_intersect(b, kinds)
+    return 0.65 * F.when((F.size(x) > 0) & (F.size(y) > 0), jaccard(x, y)).otherwise(0.5) + 0.35 * ordinal_similarity(ranks(a, "size"), ranks(b, "size"))
+
 
+#: Hues in order round the circle, and a chip's form (fixed values).
+HUES = ["R", "YR", "Y", "GY", "G", "BG", "B", "PB", "P", "RP"]
+CHIP = r"(\d+(?:\.\d+)?)\s*(YR|GY|BG|PB|RP|R|Y|G|B|P)\s+(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)"
+NAMED_CHIP = r"\b\d+(?:\.\d+)?\s*(?:yr|gy|bg|pb|rp|r|y|g|b|p)\s*\d+(?:\.\d+)?\s*/\s*\d+(?:\.\d+)?\b"
+#: How near colour families are; others .20 (fixed values).
+NEAR_FAMILIES = {
+    ("pink", "red"): 0.82, ("pink", "reddish_brown"): 0.62, ("red", "reddish_brown"): 0.82, ("red", "red_yellow"): 0.82,
+    ("reddish_brown", "brown"): 0.86, ("reddish_brown", "red_yellow"): 0.68, ("brown", "yellow"): 0.64, ("red_yellow", "yellow"): 0.82,
+}
+#: By the gap of lightness (fixed values).
+TONES = [1.0, 0.82, 0.58, 0.34, 0.18]
+#: Centres of hue labels (fixed values).
+HUE_LABELS = [(1.00, "R/10R"), (1.25, "2.5YR"), (1.50, "5YR"), (1.75, "7.5YR"), (2.10, "10YR/Y")]
 
-#: Colour families and their neighbours (fixed values).
-FAMILIES = ["red", "orange", "yellow", "brown", "gray", "black", "white"]
-NEAR_FAMILIES = [("red", "orange"), ("orange", "yellow"), ("red", "brown"), ("orange", "brown"), ("yellow", "brown"), ("gray", "black"), ("gray", "white")]
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def munsell(c: Column) -> Column:
     """struct(hue, value, chroma) of a chip such as 5YR 6/4, the hue on a circle of ten families; null without one."""
-    pattern = r"(\d+(?:\.\d+)?)\s*(YR|GY|BG|PB|RP|R|Y|G|B|P)\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)"
-    t = F.upper(F.coalesce(c, F.lit("")))
-    part = lambda i: F.regexp_extract(t, pattern, i)
-    place = F.array_position(F.array(*[F.lit(x) for x in ("R", "YR", "Y", "GY", "G", "BG", "B", "PB", "P", "RP")]), part(2)) - 1
-    hue = F.pmod(place.cast("double") + part(1).try_cast("double") / 10, F.lit(10.0))
-    return F.when(t.rlike(pattern), F.struct(hue.alias("hue"), part(3).try_cast("double").alias("value"), part(4).try_cast("double").alias("chroma")))
+
+    def read(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, CHIP, i)
+        place = F.array_position(F.array(*map(F.lit, HUES)), part(2)) - 1
+        hue = F.pmod(place.cast("double") + part(1).try_cast("double") / 10, F.lit(10.0))
+        return F.when(t.rlike(CHIP), F.struct(hue.alias("hue"), part(3).try_cast("double").alias("value"), part(4).try_cast("double").alias("chroma")))
+
+    return let(F.trim(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"\s+", " ")), read)
+
+
+def munsell_labels(chip: Column) -> Column:
+    """struct(hue, lightness, saturation): words for a chip, the nearest hue's (the first of equals) and bands."""
+
+    def labels(c: Column) -> Column:
+        gaps = F.array(*[F.struct(F.abs(c["hue"] - centre).alias("gap"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (centre, name) in enumerate(HUE_LABELS)])
+        light = F.when(c["value"] < 5, "dark").when(c["value"] < 6.5, "middle").when(c["value"] < 7.5, "light").otherwise("very light")
+        vivid = F.when(c["chroma"] <= 2, "muted").when(c["chroma"] <= 4, "moderate").otherwise("strong")
+        return F.when(c.isNotNull(), F.struct(F.array_min(gaps)["name"].alias("hue"), light.alias("lightness"), vivid.alias("saturation")))
+
+    return let(chip, labels)
+
+
+def colour_words(c: Column) -> Column:
+    """A colour's name without its chip: lower-case words."""
+    t = F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("grey"), F.lit("gray")), NAMED_CHIP, " ")
+    return F.trim(F.regexp_replace(t, r"[^a-z]+", " "))
+
+
+def _named(t: Column) -> Column:
+    has = lambda *words: t.rlike("|".join(words))
+    family = (
+        F.when(has("white", "gray", "black"), "neutral").when(has("reddish brown", "red brown"), "reddish_brown").when(has("brown"), "brown").when(has("pink"), "pink")
+        .when(has("red") & has("yellow"), "red_yellow").when(has("red"), "red").when(has("yellow", "buff"), "yellow")
+    )
+    light = F.when(has("very dark", "black"), 0).when(has("dark"), 1).when(has("white", "very pale"), 4).when(has("light", "pale"), 3).otherwise(2)
+    vivid = F.when(has("gray", "white", "black"), "neutral").when(has("weak", "pale"), "weak").otherwise("normal")
+    tint = F.when(has("pink"), "pink").when(has("red"), "red").when(has("brown"), "brown").when(has("yellow"), "yellow")
+    known = has("white", "gray", "black", "brown", "pink", "red", "yellow", "buff")
+    return F.when(known, F.struct(family.alias("family"), light.alias("lightness"), vivid.alias("saturation"), tint.alias("tint")))
 
 
 def colour_name(c: Column) -> Column:
-    """struct(family, lightness 0 to 4) of a colour's name; the first family named wins, grey before its shades."""
-    t = F.lower(F.coalesce(c, F.lit("")))
-    family = F.coalesce(*[F.when(t.contains("grey") if f == "grey" else t.contains(f), F.lit("gray" if f == "grey" else f)) for f in ("gray", "grey", "black", "white", "brown", "red", "orange", "yellow", "buff", "pink")], F.lit(None).cast("string"))
-    family = F.when(family == "buff", "yellow").when(family == "pink", "red").otherwise(family)
-    light = F.when(t.contains("very dark") | t.contains("black"), 0).when(t.contains("dark"), 1).when(t.contains("very pale") | t.contains("white"), 4).when(t.contains("light") | t.contains("pale"), 3).otherwise(2)
-    return F.when(family.isNotNull(), F.struct(family.alias("family"), light.alias("lightness")))
-
-
-def colour_similarity(a: Column, b: Column, tokens_a: Column, tokens_b: Column) -> Column:
-    """By Munsell chips if both have one (hue .40 on the circle, value .25, chroma .35), else by named families, else by common words."""
-    x, y = munsell(a), munsell(b)
-    gap = F.abs(x["hue"] - y["hue"])
-    chips = 0.40 * soft_distance(F.least(gap, 10 - gap), 1.0) + 0.25 * soft_distance(F.abs(x["value"] - y["value"]), 1.5) + 0.35 * soft_distance(F.abs(x["chroma"] - y["chroma"]), 2.0)
-    p, q = colour_name(a), colour_name(b)
-    near = F.lit(False)
-    for f, g in NEAR_FAMILIES:
-        near = near | ((p["family"] == f) & (q["family"] == g)) | ((p["family"] == g) & (q["family"] == f))
-    family = F.when(p["family"] == q["family"], 1.0).when(near, 0.55).otherwise(0.1)
+    """struct(family, lightness 0 to 4, saturation, tint) of a colour's name; null where it names no family."""
+    return let(colour_words(c), _named)
+
+
+def _named_similarity(p: Column, q: Column) -> Column:
+    near = F.lit(0.20)
+    for (f, g), v in NEAR_FAMILIES.items():
+        near = F.when(((p["family"] == f) & (q["family"] == g)) | ((p["family"] == g) & (q["family"] == f)), v).otherwise(near)
+    tinted = F.when(p["family"] == "neutral", p["tint"].eqNullSafe(q["family"])).otherwise(q["tint"].eqNullSafe(p["family"]))
+    neutral = (p["family"] == "neutral") | (q["family"] == "neutral")
+    family = F.when(p["family"] == q["family"], 1.0).when(neutral, F.when(tinted, 0.48).otherwise(0.22)).otherwise(near)
     # A lightness of 0 counts as the middle one.
     light = lambda z: F.when(z["lightness"] == 0, 2).otherwise(z["lightness"])
-    named = 0.7 * family + 0.3 * soft_distance(F.abs(light(p) - light(q)).cast("double"), 1.5)
-    return F.coalesce(chips, named, categorical_similarity(tokens_a, tokens_b))
+    tone = F.element_at(F.array(*map(F.lit, TONES)), F.least(F.abs(light(p) - light(q)), F.lit(4)) + 1)
+    vivid = F.when(p["saturation"] == q["saturation"], 1.0).when((p["saturation"] == "normal") | (q["saturation"] == "normal"), 0.78).otherwise(0.55)
+    return 0.68 * family + 0.22 * tone + 0.10 * vivid
+
+
+def colour_similarity(a: Column, b: Column) -> Column:
+    """By Munsell chips if both have one (hue .40 on the circle in quarter steps, value .25, chroma .35), else by names
+    (equal ones at least .96), else by common words."""
+
+    def chips(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        gap = F.abs(x["hue"] - y["hue"])
+        return 0.40 * soft_distance(F.least(gap, 10 - gap) / 0.25, 2.0) + 0.25 * soft_distance(F.abs(x["value"] - y["value"]), 1.5) + 0.35 * soft_distance(F.abs(x["chroma"] - y["chroma"]), 2.5)
+
+    def names(s: Column) -> Column:
+        value = let(_named_similarity(s["p"], s["q"]), lambda v: F.when(s["u"] == s["w"], F.greatest(v, F.lit(0.96))).otherwise(v))
+        return F.when(s["p"].isNotNull() & s["q"].isNotNull(), value)
+
+    words = F.struct(colour_words(a).alias("u"), colour_words(b).alias("w"))
+    named = let(words, lambda s: let(F.struct(_named(s["u"]).alias("p"), _named(s["w"]).alias("q"), s["u"].alias("u"), s["w"].alias("w")), names))
+    return F.coalesce(let(F.struct(munsell(a).alias("x"), munsell(b).alias("y")), chips), named, 0.35 + 0.5 * jaccard(token_set(a), token_set(b)))
 
 
 def evidence(compat: Column, weight: Column, rel_a: Column, rel_b: Column) -> Column:
@@ -146,26 +230,35 @@ def rank_score(rank_a: Column, rank_b: Column, n: Column) -> Column:
 
 
 def bounded_score(v: Column, scale: float) -> Column:
-    return v / (v + scale)
+    """v / (v + scale); values below zero count as zero."""
+    v = F.greatest(v, F.lit(0.0))
+    return v / (v + max(scale, 1e-12))
 
 
 def completeness_penalty(share: Column) -> Column:
-    return (1 - share) * (1 - share)
+    return (1 - clip(share)) * (1 - clip(share))
 
 
 def weighted_overall(terms: dict[str, Column]) -> Column:
     return sum((F.lit(w) * terms[t] for t, w in SHAPE_WEIGHTS.items()), F.lit(0.0))
 
 
-def hypothesis_reliability(margin: Column, agreement: Column, coverage: Column, angles: Column, scales: Column, seams: Column) -> Column:
-    """.60 margin, .15 agreement, .10 coverage and .15 stability, the last from the population deviations of the hypotheses."""
+def instability(rotations: Column, scales: Column, seams: Column) -> Column:
+    """How far hypotheses differ, 0 for a single one: the mean of bounded population deviations of rotation (10 degrees),
+    log scale (.15) and seam (.05)."""
 
     def deviation(a: Column) -> Column:
         mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
         return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(a))
 
-    unstable = clip((deviation(angles) / 45 + deviation(scales) + deviation(seams)) / 3)
-    return clip(0.60 * margin + 0.15 * agreement + 0.10 * coverage + 0.15 * (1 - unstable))
+    logs = F.transform(scales, lambda x: F.log(F.greatest(x, F.lit(1e-12))))
+    mean = (bounded_score(deviation(rotations), 10.0) + bounded_score(deviation(logs), 0.15) + bounded_score(deviation(seams), 0.05)) / 3
+    return F.when(F.size(rotations) > 1, mean).otherwise(0.0)
+
+
+def hypothesis_reliability(scale_gap: Column, not_converged: Column, start: Column, unstable: Column) -> Column:
+    """The penalty of an unreliable transform: .60 disagreement of scales, .15 no convergence, .10 start, .15 instability."""
+    return 0.60 * scale_gap + 0.15 * not_converged + 0.10 * start + 0.15 * unstable
 
 
 def warning_flags(tests: dict[str, Column]) -> Column:

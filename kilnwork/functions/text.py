@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Values that stand for a missing observation (fixed values).
-EMPTY_VALUES = ["", "-", "--", "N/A", "NA", "NONE", "NULL", "NAN", "UNKNOWN", "?", "N.A."]
+EMPTY_VALUES = ["", "-", "--", "?", "N/A", "NA", "NONE", "NULL", "UNKNOWN", "*", "**"]
 #: Extensions that a card's name may lose (fixed values).
 CARD_EXTENSIONS = "png|jpe?g"
 
 
 def clean_text(c: Column) -> Column:
-    """Null, nan and None become the empty string; other text is trimmed."""
-    t = F.trim(c.cast("string"))
-    return F.when(t.isNull() | F.lower(t).isin("nan", "none"), F.lit("")).otherwise(t)
+    """Null, not-a-number, nan and None become the empty string; other text stays as it is."""
+    t = c.cast("string")
+    return F.when(t.isNull() | t.isin("nan", "NaN", "None"), F.lit("")).otherwise(t)
 
 
 def strip_edges(c: Column, chars: str = r".,;:()\[\]") -> Column:
@@ -37,8 +37,8 @@ def is_positive_number(c: Column) -> Column:
 def normalize_figure(c: Column) -> Column:
     """A figure's id from running text: after figure, fig, abb, tav, plate or pl if there, separators as dots, lower case."""
     t = F.trim(F.coalesce(c.cast("string"), F.lit("")))
-    found = F.regexp_extract(t, r"(?i)\b(?:figure|fig|abb|tav|plate|pl)\b\.?\s*([a-z]?\d+(?:[.:-]\d+)*[a-z]?)", 1)
-    t = F.regexp_replace(strip_edges(F.when(found != "", found).otherwise(t)), r"\s+", "")
+    found = F.regexp_extract(t, r"(?i)\b(?:figure|fig\.?|abb\.?|tav\.?|plate|pl\.?)\s*([a-z]?\d+(?:[.:-]\d+)*[a-z]?)", 1)
+    t = F.regexp_replace(strip_edges(F.trim(F.when(found != "", found).otherwise(t))), r"\s+", "")
     return F.lower(F.regexp_replace(t, "[:-]", "."))
 
 
@@ -48,32 +48,30 @@ def strict_figure(c: Column) -> Column:
     return F.when(t.rlike(r"^[a-z]?\d+(\.\d+)*[a-z]?$"), t).otherwise("")
 
 
-_CAPTION = r"(?im)\bfigure\s+(\d+(?:\.\d+)*)\s*(,?\s*continued)?[^\n]*"
+#: A caption's beginning and the rest of its line (fixed value).
+_CAPTION = r"(?i)\bfigure\s+([a-z]?\d+(?:\.\d+)+[a-z]?)\s*(,\s*continued\.)?[^\n]*"
 
 
 def caption(c: Column) -> Column:
     """struct(figure, caption, continued) of the first caption; empty strings and false without one."""
     t = F.coalesce(c, F.lit(""))
     return F.struct(
-        F.regexp_extract(t, _CAPTION, 1).alias("figure"),
+        strict_figure(F.regexp_extract(t, _CAPTION, 1)).alias("figure"),
         F.trim(F.regexp_extract(t, _CAPTION, 0)).alias("caption"),
         (F.regexp_extract(t, _CAPTION, 2) != "").alias("continued"),
     )
 
 
 def printed_page(c: Column, edge: int = 6) -> Column:
-    """The printed page number among a page's first and last lines: a bare number, then capitals with a number, then any short number."""
-    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """The printed page number among a page's first and last lines: the first bare number, else the first line of capitals
+    with a number, else the first number of up to four digits that is no part of another."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(lines)
-    edges = F.when(n <= 2 * edge, lines).otherwise(F.concat(F.slice(lines, 1, edge), F.slice(lines, F.greatest(n - edge + 1, F.lit(1)), edge)))
-
-    def first(pattern: str) -> Column:
-        return F.element_at(F.filter(F.transform(edges, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), 1)
-
-    def some(pattern: str) -> Column:
-        return F.when(F.exists(edges, lambda x: x.rlike(pattern)), first(pattern))
-
-    return F.coalesce(some(r"^(\d{1,4})$"), some(r"^[A-Z][A-Z ]+\s+(\d{1,4})$"), some(r"^(\d{1,4})\s+[A-Z][A-Z ]+$"), some(r"(?<![\d.])(\d{1,4})(?![\d.])"), F.lit(""))
+    edges = F.concat(F.slice(lines, 1, edge), F.slice(lines, F.greatest(n - edge + 1, F.lit(1)), edge))
+    bare = F.filter(edges, lambda x: x.rlike(r"^\d{1,4}$"))
+    heads = F.filter(F.transform(edges, lambda x: F.concat(F.regexp_extract(x, r"^[A-Z][A-Z ]{2,}\s+(\d{1,4})$", 1), F.regexp_extract(x, r"^(\d{1,4})\s+[A-Z][A-Z ]{2,}$", 1))), lambda x: x != "")
+    some = F.flatten(F.transform(edges, lambda x: F.regexp_extract_all(x, F.lit(r"(?<![.\d])(\d{1,4})(?![.\d])"), 1)))
+    return F.coalesce(F.get(bare, 0), F.get(heads, 0), F.get(some, 0), F.lit(""))
 
 
 def card_stem(c: Column) -> Column:
@@ -82,8 +80,8 @@ def card_stem(c: Column) -> Column:
 
 
 def parse_box(c: Column) -> Column:
-    """Four numbers of any text as struct(x1, y1, x2, y2) of ints; null unless there are four."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)"), 1), lambda x: F.bround(x.cast("double")).cast("int"))
+    """Four numbers of any text as struct(x1, y1, x2, y2) of ints, fractions cut off; null unless there are four."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double").cast("int"))
     return F.when(F.size(found) == 4, F.struct(*[F.get(found, i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]))
 
 
@@ -92,7 +90,8 @@ def _digest(c: Column, size: int) -> Column:
 
 
 def box_fingerprint(image: Column, box: Column) -> Column:
-    return _digest(F.concat(image, F.lit("|"), F.concat_ws(",", *[box[x].cast("string") for x in ("x1", "y1", "x2", "y2")])), 16)
+    """A digest of an image's name and a box; null without a box."""
+    return F.when(box.isNotNull(), _digest(F.concat(image, F.lit("|"), F.concat_ws(",", *[box[x].cast("string") for x in ("x1", "y1", "x2", "y2")])), 16))
 
 
 def figure_key(members: Column) -> Column:
@@ -112,9 +111,9 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
 
 
 def split_of(key: Column) -> Column:
-    """train, val or test, 80/10/10, from a key's digest."""
+    """train, validation or test, 80/10/10, from a key's digest."""
     n = F.conv(_digest(key, 8), 16, 10).cast("long") % 10
-    return F.when(n < 8, "train").when(n == 8, "val").otherwise("test")
+    return F.when(n < 8, "train").when(n == 8, "validation").otherwise("test")
 
 
 def natural_key(c: Column) -> Column:
@@ -126,9 +125,10 @@ def natural_key(c: Column) -> Column:
 
 
 def leading_number(c: Column) -> Column:
-    """A row's number at the start of its text: up to three digits and a letter, or digits right before a capital."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return F.coalesce(F.nullif(F.regexp_extract(t, r"^(\d{1,3}[a-z]?)(?![\w.])", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"^(\d{1,3})(?=[A-Z])", 1), F.lit("")), F.lit(""))
+    """A row's number at the start of its text: up to three digits and a letter as a word, or digits right before a capital; empty without one."""
+    t = F.coalesce(c, F.lit(""))
+    word = F.regexp_extract(t, r"(?i)^\s*(\d{1,3}[a-z]?)\b", 1)
+    return F.when(word != "", word).otherwise(F.regexp_extract(t, r"^\s*(\d{1,3})(?=[A-Z])", 1))
 
 
 def first_number(c: Column) -> Column:
@@ -145,14 +145,17 @@ def is_empty_value(c: Column) -> Column:
     return F.upper(F.trim(F.coalesce(c.cast("string"), F.lit("")))).isin(EMPTY_VALUES)
 
 
-def safe_piece(c: Column) -> Column:
-    """Text for a file name: runs of other characters become one hyphen."""
-    return F.regexp_replace(F.regexp_replace(clean_text(c), r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", "")
+def safe_piece(c: Column, fallback: str = "") -> Column:
+    """Text for a file name: points and runs of characters other than letters, digits and hyphens become hyphens; the fallback where nothing is left."""
+    t = F.regexp_replace(F.regexp_replace(F.replace(clean_text(c), F.lit("."), F.lit("-")), r"[^A-Za-z0-9-]+", "-"), r"^-+|-+$", "")
+    return F.when(t == "", fallback).otherwise(t)
 
 
 def citation(figure: Column, item: Column, fallback: Column) -> Column:
-    both = (F.coalesce(figure, F.lit("")) != "") & (F.coalesce(item, F.lit("")) != "")
-    return F.when(both, F.concat_ws(" ", F.lit("Figure"), figure, F.lit("Item"), item)).otherwise(card_stem(fallback))
+    """What is known of figure and item, else the card's name without extension."""
+    part = lambda word, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(word), F.trim(c)))
+    found = F.concat_ws(" ", part("Figure ", figure), part("Item ", item))
+    return F.when(found != "", found).otherwise(card_stem(fallback))
 
 
 def page_image_name(base: Column, index: Column, part: Column) -> Column:
@@ -161,7 +164,8 @@ def page_image_name(base: Column, index: Column, part: Column) -> Column:
 
 def bracket_fields(c: Column) -> Column:
     """Names in square brackets, each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[([^\[\]]+)\]"), 1), lambda x: F.trim(x)))
+    names = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[([^\[\]]+)\]"), 1), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(names, lambda x: x != ""))
 
 
 def formula_guard(c: Column) -> Column:

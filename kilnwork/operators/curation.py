@@ -148,57 +148,71 @@ def explanations(field: Column, compat: Column, a: Column, b: Column) -> Column:
     return F.format_string("%s: %s / %s (%s, %.2f)", field, a, b, grade, compat)
 
 
+def _loaded(text: str) -> str | None:
+    """The value in compact form, with commas before a closing bracket dropped if need be; None if it is none."""
+    for tried in (text, re.sub(r",\s*([}\]])", r"\1", text)):
+        try:
+            return json.dumps(json.loads(tried), ensure_ascii=False)
+        except ValueError:
+            continue
+    return None
+
+
 def _repaired(text: str | None) -> str | None:
-    if not text:
-        return None
-    t = re.sub(r"```(?:json)?", "", text).strip()
-    t = t.translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"})
-    begin = min([i for i in (t.find("{"), t.find("[")) if i >= 0], default=-1)
+    t = (text or "").strip()
+    if t.startswith("```"):
+        t = re.sub(r"\n?```\s*$", "", re.sub(r"^```[a-zA-Z]*\n?", "", t)).strip()
+    t = t.translate({0x201C: '"', 0x201D: '"', 0x2019: "'"})
+    begin = t.find("{")
     if begin < 0:
         return None
     t = t[begin:]
-    closers: list[str] = []
+    # Brackets that are open at each place where one closes; a cut answer ends at the last of them.
+    open_: list[str] = []
+    last: tuple[int, list[str]] | None = None
     quoted = escaped = False
-    end = len(t)
     for i, c in enumerate(t):
         if quoted:
-            quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
+            quoted, escaped = c != '"' or escaped, c == "\\" and not escaped
         elif c == '"':
             quoted = True
         elif c in "{[":
-            closers.append("}" if c == "{" else "]")
+            open_.append("}" if c == "{" else "]")
         elif c in "}]":
-            if not closers:
-                break
-            closers.pop()
-            if not closers:
-                end = i + 1
+            if open_ and open_[-1] == c:
+                open_.pop()
+            last = i + 1, open_.copy()
+            if not open_:
                 break
-    t = t[:end] + ('"' if quoted else "")
-    for tail in (t + "".join(reversed(closers)), re.sub(r'[,:]?\s*("[^"]*"\s*:?\s*)?$', "", t) + "".join(reversed(closers))):
-        try:
-            return json.dumps(json.loads(re.sub(r",\s*([}\]])", r"\1", tail)), ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
+    if last is None:
+        return None
+    whole = _loaded(t[: last[0]]) if not last[1] else _loaded(t)
+    return whole or _loaded(t[: last[0]] + "".join(reversed(last[1])))
 
 
 @F.pandas_udf(StringType())
 def repaired_json(texts: pd.Series) -> pd.Series:
-    """The first JSON value of a model's answer: fences and curly quotes removed, trailing commas dropped, a cut end closed; null without one."""
+    """The first JSON object of a model's answer: fences and curly quotes removed, trailing commas dropped, a cut answer up to its last whole part; null without one."""
     return texts.map(_repaired)
 
 
 @F.pandas_udf(StringType())
 def printable_ascii(texts: pd.Series) -> pd.Series:
-    """Compatibility forms (NFKC), then printable ASCII only."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if " " <= c <= "~"))
+    """Compatibility forms (NFKC), then printable ASCII, line breaks and tabs only, trimmed; null is empty."""
+    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "") if " " <= c <= "~" or c in "\n\t").strip())
+
+
+#: Headings of the expected table (fixed values): needed ones, main ones and those of the second line.
+NEEDED_HEADINGS = [r"\bno\b", r"\btype\b"]
+MAIN_HEADINGS = [r"\bsq\b", r"\bloc\b", r"\bpail\b", r"\breg\b", r"fabric\s+color", r"non\s+plastics", r"\bvoids?\b", r"\bman\b", r"surface\s+treatment", r"\bdecor\b", r"\bfire\b"]
+SUB_HEADINGS = [r"\bexterior\b", r"\bcore\b", r"\binterior\b", r"\btyp\b", r"\bsiz\b", r"\bshap\b", r"\bden\b", r"ty\s*sz", r"\bext\b", r"\bint\b"]
 
 
-def header_expected(c: Column, main: list[str], sub: list[str]) -> Column:
-    """Whether a header has four of the main headings and two of the others."""
-    n = lambda ps: sum((c.rlike(f"(?i){p}").cast("int") for p in ps), F.lit(0))
-    return (n(main) >= 4) & (n(sub) >= 2)
+def header_expected(c: Column) -> Column:
+    """Whether a header has the needed headings, four main ones and two of the second line."""
+    t = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", " "))
+    n = lambda ps: sum((t.rlike(p).cast("int") for p in ps), F.lit(0))
+    return (n(NEEDED_HEADINGS) == len(NEEDED_HEADINGS)) & (n(MAIN_HEADINGS) >= 4) & (n(SUB_HEADINGS) >= 2)
 
 
 def siblings(pages: DataFrame, source: str, index: str, image: str) -> DataFrame:
@@ -215,7 +229,7 @@ def crop_sources(crops: DataFrame, pages: DataFrame, image: str, page_image: str
 
 def staged_number(table_number: Column, drawing_number: Column) -> Column:
     """The table's number, else the drawing's, else a question mark."""
-    some = lambda c: F.when(X.clean_text(c) != "", X.clean_text(c))
+    some = lambda c: F.when(F.trim(X.clean_text(c)) != "", F.trim(X.clean_text(c)))
     return F.coalesce(some(table_number), some(drawing_number), F.lit("?"))
 
 

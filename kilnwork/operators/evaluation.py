@@ -43,11 +43,13 @@ def paired_test(a: DataFrame, b: DataFrame, key: str, k: int, rank: str = "rank"
 def distribution(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, mean, median, population deviation, least, 5th, 25th, 75th and 95th percentile, and most of a column."""
     v = F.col(value)
-    cut = lambda p: F.percentile(v, p)
-    return df.groupBy(*(by or [])).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), cut(0.5).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"),
-        cut(0.05).alias("p05"), cut(0.25).alias("p25"), cut(0.75).alias("p75"), cut(0.95).alias("p95"), F.max(v).alias("most"),
+    # One state of counted values for all percentiles.
+    shares = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    out = df.groupBy(*(by or [])).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.percentile(v, F.array(*map(F.lit, shares.values()))).alias("_cuts"),
     )
+    cuts = {n: F.get("_cuts", i).alias(n) for i, n in enumerate(shares)}
+    return out.select(*(by or []), "n", "mean", cuts["median"], "std", "least", cuts["p05"], cuts["p25"], cuts["p75"], cuts["p95"], "most")
 
 
 def threshold_counts(value: Column, thresholds: list[float]) -> list[Column]:
@@ -77,10 +79,11 @@ def micro_macro(pairs: DataFrame) -> DataFrame:
 
 def best_threshold(scores: DataFrame, score: str, truth: str, thresholds: list[float]) -> DataFrame:
     """(threshold, dice) with the highest Dice, the first of equals."""
-    t = F.lit(thresholds).cast("array<double>")
-    rows = scores.select(F.explode(t).alias("threshold"), F.col(score).alias("s"), (F.col(truth) == 1).alias("t"))
-    n = rows.groupBy("threshold").agg((2 * F.count_if((F.col("s") >= F.col("threshold")) & F.col("t")) / F.nullif(F.count_if(F.col("s") >= F.col("threshold")) + F.count_if("t"), F.lit(0))).alias("dice"))
-    return n.agg(F.max_by(F.struct("threshold", "dice"), F.struct(F.coalesce("dice", F.lit(-1.0)), -F.col("threshold"))).alias("b")).select("b.threshold", "b.dice")
+    s, t = F.col(score), F.col(truth) == 1
+    sums = scores.agg(F.count_if(t).alias("truth"), *[F.count_if((s >= x) & t).alias(f"both_{i}") for i, x in enumerate(thresholds)], *[F.count_if(s >= x).alias(f"found_{i}") for i, x in enumerate(thresholds)])
+    dice = [2 * F.col(f"both_{i}") / F.nullif(F.col(f"found_{i}") + F.col("truth"), F.lit(0)) for i in range(len(thresholds))]
+    each = F.array(*[F.struct(F.coalesce(v, F.lit(-1.0)).alias("rank"), F.lit(-x).alias("least"), F.lit(x).alias("threshold"), v.alias("dice")) for x, v in zip(thresholds, dice, strict=True)])
+    return sums.select(F.array_max(each).alias("b")).select("b.threshold", "b.dice")
 
 
 def expert_distribution(scores: DataFrame, by: list[str], score: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,9 +137,57 @@ def public_columns(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def unique_names(df: DataFrame, base: str, order: list[str], name: str = "name") -> DataFrame:
-    """A name for each row: base, then base-2, base-3 ... for those equal but for case, in order."""
+    """A name for each row, in order: base, or base-2, base-3 ..., the first that no row before has but for case.
+
+    Numbered names can only clash with those of one root, base without its last numbers. Where no numbered name of a
+    root is some row's base, the numbers are ranks. The others' rows, of roots with a clash alone, are named one by one.
+    """
     n = F.row_number().over(W.partitionBy(F.lower(base)).orderBy(*order))
-    return df.withColumn(name, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), n.cast("string"))))
+    root = F.regexp_replace(F.lower(base), r"(-\d+)+$", "")
+    ranked = df.withColumns({"_n": n, "_root": root, "_at": F.struct(*order)}).withColumn(name, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_n").cast("string"))))
+    taken = df.select(F.lower(base).alias("_taken")).distinct()
+    clash = ranked.where("_n > 1").select("_root", F.lower(name).alias("_taken")).join(taken, "_taken", "left_semi").select("_root").distinct().withColumn("_clash", F.lit(True))
+    marked = ranked.join(clash, "_root", "left")
+    plain = marked.where(F.col("_clash").isNull())
+
+    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, names = set(), []
+        pdf = pdf.sort_values("_rank", kind="stable")
+        for b in pdf[base]:
+            own, k = b, 2
+            while own.lower() in seen:
+                own, k = f"{b}-{k}", k + 1
+            seen.add(own.lower())
+            names.append(own)
+        return pdf.assign(**{name: names})
+
+    columns = [*df.columns, name]
+    some = marked.where("_clash").withColumn("_rank", F.row_number().over(W.partitionBy("_root").orderBy("_at"))).select(*columns, "_root", "_rank")
+    named = some.groupBy("_root").applyInPandas(one_by_one, some.schema)
+    return plain.select(*columns).unionByName(named.select(*columns))
+
+
+def split_with_donors(df: DataFrame, key: str, name: str = "part", least: int = 10) -> DataFrame:
+    """Distinct keys with train, validation or test by their digest; with ``least`` keys or more, validation and then test,
+    where empty, take the last key of the largest part (the first of equals in that order)."""
+    parts = ["train", "validation", "test"]
+    each = df.select(F.col(key)).distinct().withColumn(name, X.split_of(F.col(key)))
+    facts = {r[name]: r["n"] for r in each.groupBy(name).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = {p: facts.get(p, 0) for p in parts}
+    if sum(held.values()) < least:
+        return each
+    moved: dict[str, str] = {}
+    for p in parts[1:]:
+        if not held[p]:
+            donor = max(parts, key=lambda q: held[q])
+            # A part gives at most two keys, its last ones.
+            last = [r[0] for r in each.where(F.col(name) == donor).orderBy(F.col(key).desc()).limit(2).collect() if r[0] not in moved]
+            moved[last[0]] = p
+            held[donor] -= 1
+            held[p] += 1
+    if not moved:
+        return each
+    return each.withColumn(name, F.coalesce(F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])[F.col(key)], F.col(name)))
 
 
 def joined_distinct(value: Column, order: Column, sep: str = "; ") -> Column:
@@ -155,7 +204,18 @@ def multi_key_lookup(left: DataFrame, right: DataFrame, keys: list[str], key: st
     return left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])).join(hit, "_row", "left").select(*left.columns, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
-def key_collisions(df: DataFrame, key: str, identity: str) -> DataFrame:
-    """Rows with their key, made anew from identity and key where different identities share it."""
-    shared = df.groupBy(key).agg((F.count_distinct(F.col(identity)) > 1).alias("_shared"))
-    return df.join(shared, key).withColumn(key, F.when(F.col("_shared"), F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col(identity).cast("string")), 256), 1, 20)).otherwise(F.col(key).cast("string"))).drop("_shared")
+def key_collisions(df: DataFrame, key: str, identity: str, members: str) -> DataFrame:
+    """Rows with their key; where rows of different identities share a key, or it is blank, each takes the digest of its
+    members, or where that is another row's own key already, the digest of that and its identity."""
+    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = df.withColumns({"_key": k, "_made": X.figure_key(F.col(members))})
+    facts = rows.groupBy("_key").agg((F.count_distinct(F.struct(F.coalesce(F.col(identity).cast("string"), F.lit("")), "_made")) > 1).alias("_several"))
+    rows = rows.join(facts, "_key").withColumn("_split", (F.col("_key") == "") | F.col("_several"))
+    used = rows.where(~F.col("_split")).select(F.col("_key").alias("_made"), F.lit(True).alias("_used")).distinct()
+    # Of split rows with the same made key the first identity keeps it.
+    first = rows.where("_split").groupBy("_made").agg(F.min(F.coalesce(F.col(identity).cast("string"), F.lit(""))).alias("_first"))
+    out = rows.join(used, "_made", "left").join(first, "_made", "left")
+    own = F.coalesce(F.col(identity).cast("string"), F.lit(""))
+    again = F.col("_used").isNotNull() | (own != F.col("_first"))
+    made = F.when(again, F.substring(F.sha2(F.concat_ws("|", F.col("_made"), own), 256), 1, 20)).otherwise(F.col("_made"))
+    return out.withColumn(key, F.when(F.col("_split"), made).otherwise(F.col("_key"))).select(*df.columns)

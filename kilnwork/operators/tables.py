@@ -23,35 +23,82 @@ def text_lines(tokens: DataFrame) -> DataFrame:
     return tokens.select("page", "text", "score", "x1", "y1", "x2", "y2").groupBy("page").applyInPandas(run, schema)
 
 
-def column_bounds(header: DataFrame, names: list[str], least: float = 0.55) -> DataFrame:
-    """(page, column, left, right) from header tokens (page, text, x1, x2): each heading in order takes the best later
-    token; bounds lie half way between neighbours. A page without all headings gives no rows."""
+#: Room before a heading: its height's share, at least and at most so many pixels; and the least score of a heading (fixed values).
+LEAD_SHARE, LEAST_LEAD, MOST_LEAD, LEAST_HEADING = 0.20, 3.0, 18.0, 0.68
+
+
+def column_bounds(header: DataFrame, headings: list[tuple[str, int, tuple[str, ...]]], rule: str = "rule_y", width: str = "width") -> DataFrame:
+    """(page, column, left, right) from header tokens (page, text, score, x1, y1, x2, y2, and the page's upper rule and
+    width).
+
+    headings: name, tier (0 above the rule, 1 below it) and spellings, in order. Tokens of several headings are split.
+    Within a tier each heading takes the first token beyond the one before that is near enough to it, of those at one
+    place the best. Columns begin a little before their headings. A page without all headings gives no rows.
+    """
+    known = {"".join(c for c in a.lower() if c.isalnum()) for _, _, spellings in headings for a in spellings}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x1", "text"]).reset_index(drop=True)
-        at, found = 0, []
-        for k, name in enumerate(names):
-            last = len(pdf) - (len(names) - k - 1)
-            scores = [K.header_score(t, name) for t in pdf.text.iloc[at:last]]
-            if not scores or max(scores) < least:
-                return pd.DataFrame([], columns=["page", "column", "left", "right"])
-            i = at + int(np.argmax(scores))
-            found.append((float(pdf.x1[i]), float(pdf.x2[i])))
-            at = i + 1
-        cuts = [-np.inf] + [(a[1] + b[0]) / 2 for a, b in zip(found, found[1:])] + [np.inf]
-        return pd.DataFrame({"page": pdf.page.iloc[0], "column": names, "left": cuts[:-1], "right": cuts[1:]})
+        none = pd.DataFrame([], columns=["page", "column", "left", "right"])
+        pdf = pdf[pdf.text.fillna("") != ""].sort_values(["y1", "x1", "text"])
+        tokens = [(t, float(r.score), a, float(r.y1), b, float(r.y2)) for r in pdf.itertuples() for t, a, b in K.split_heading(r.text, float(r.x1), float(r.x2), known)]
+        if not tokens:
+            return none
+        height = lambda t: max(1.0, t[5] - t[3])
+        middle = lambda t: ((t[2] + t[4]) / 2, (t[3] + t[5]) / 2)
+        line, gap = float(pdf[rule].iloc[0]), max(5.0, float(np.median([height(t) for t in tokens])) * 0.45)
+        tiers = [[t for t in tokens if middle(t)[1] <= line + gap], sorted((t for t in tokens if middle(t)[1] > line - gap), key=lambda t: middle(t)[0])]
+        found: dict[int, tuple] = {}
+        for tier, some in enumerate(tiers):
+            cursor, used = -1.0, set()
+            for k, (_, own, spellings) in enumerate(headings):
+                if own != tier:
+                    continue
+                scores = [(middle(t)[0], -K.header_score(t[0], spellings) * t[1], i) for i, t in enumerate(some) if i not in used and middle(t)[0] > cursor and K.header_score(t[0], spellings) >= LEAST_HEADING]
+                if scores:
+                    cursor, _, i = min(scores)
+                    used.add(i)
+                    found[k] = some[i]
+        if len(found) < len(headings):
+            return none
+        ordered = [found[k] for k in range(len(headings))]
+        most = float(pdf[width].iloc[0])
+        lead = max(LEAST_LEAD, min(MOST_LEAD, float(np.median([height(t) for t in ordered])) * LEAD_SHARE))
+        edges = [max(0.0, t[2] - lead) for t in ordered] + [most]
+        least = max(3.0, most * 0.0015)
+        if any(b - a < least for a, b in zip(edges, edges[1:], strict=False)) or ordered[-1][4] > most + least:
+            return none
+        edges = [float(round(e)) for e in edges]
+        return pd.DataFrame({"page": pdf.page.iloc[0], "column": [n for n, _, _ in headings], "left": edges[:-1], "right": edges[1:]})
 
     return header.groupBy("page").applyInPandas(run, "page string, column string, left double, right double")
 
 
-def row_anchors(candidates: DataFrame, gap: float = 8.0) -> DataFrame:
-    """(page, y, text, conflict): candidates (page, y, text, expected, exact, score) nearer than ``gap`` are one row;
-    the expected, then exact, then best scored one stands for it; conflict says whether texts differ."""
-    w = W.partitionBy("page").orderBy("y", "text")
-    new = F.when(F.col("y") - F.lag("y").over(w) <= gap, 0).otherwise(1)
-    grouped = candidates.withColumn("_new", new).withColumn("_row", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    best = F.max_by(F.struct("y", "text"), F.struct(F.col("expected").cast("int"), F.col("exact").cast("int"), "score", F.length("text"), "text"))
-    return grouped.groupBy("page", "_row").agg(best.alias("b"), (F.count_distinct(F.col("text")) > 1).alias("conflict")).select("page", "b.y", "b.text", "conflict")
+def even_bounds(centres: list[float], low: float, high: float, width: Column) -> Column:
+    """array of struct(left, right): columns by the usual places of their centres, half way between neighbours, scaled to the width."""
+    at = [(c - low) / (high - low) for c in centres]
+    cuts = [0.0] + [(a + b) / 2 for a, b in zip(at, at[1:], strict=False)] + [1.0]
+    put = lambda e: F.least(F.greatest(F.bround(e * width).cast("int"), F.lit(0)), width.cast("int"))
+    return F.array(*[F.struct(put(a).alias("left"), put(b).alias("right")) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def row_anchors(candidates: DataFrame) -> DataFrame:
+    """(page, y, text, conflict): candidates (page, y, height, text, expected, page_pass, exact, score) of one physical row
+    have one winner: the expected, then whole-page, then exact, then best scored, then longest one, the first of equals;
+    conflict says whether texts differ.
+
+    A row's running mean depends on its candidates' order, so a page is one group: at most its few candidates.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "text"], kind="stable")
+        row = K.lines_of(pdf.y.to_numpy(float), pdf.height.to_numpy(float), 8.0, 0.72, 24.0)
+        return pdf.assign(row=row.astype("int32"))
+
+    held = candidates.select("page", "y", "height", "text", "expected", "page_pass", "exact", "score")
+    rows = held.groupBy("page").applyInPandas(run, held.withColumn("row", F.lit(0)).schema)
+    rank = F.struct(F.col("expected").cast("int"), F.col("page_pass").cast("int"), F.col("exact").cast("int"), "score", F.length("text"), -F.col("y"))
+    best = rows.groupBy("page", "row").agg(F.max_by(F.struct("y", "text"), rank).alias("b"), (F.count_distinct("text") > 1).alias("conflict"))
+    return best.select("page", "b.y", "b.text", "conflict")
 
 
 def recover_anchors(anchors: DataFrame, share: float = 0.35) -> DataFrame:
@@ -75,19 +122,30 @@ def row_bounds(anchors: DataFrame, bottom: float = 300.0) -> DataFrame:
     return rows.join(usual, "page").withColumns({"top": F.col("y"), "bottom": F.col("y") + F.coalesce("height", "last")}).drop("height", "last")
 
 
-def reading(cell: Column, cell_score: Column, page: Column, page_score: Column, safe: Column) -> Column:
-    """struct(text, source, warning) of two readings of a cell, the focused one and that of the whole page."""
-    blank = F.coalesce(cell, F.lit("")) == ""
-    sure, some = page_score > 0.75, page_score >= 0.5
+def folded(c: Column) -> Column:
+    """Text for comparison: white space runs as one blank, trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
+def reading(cell: Column, cell_score: Column, page: Column, page_score: Column, safe_page: Column, prefix_removed: Column, anchor: Column, column: Column, anchor_column: str = "table_no") -> Column:
+    """struct(text, source, warning) of two readings of a cell, the focused one and that of the whole page.
+
+    The page's reading may count where its tokens lie within the cell: it equals the reading of those tokens alone
+    (``safe_page``), or the row's number was taken off it. The row's anchor owns its own column.
+    """
+    cell, page = F.coalesce(cell, F.lit("")), F.coalesce(page, F.lit(""))
+    reliable = (folded(page) == folded(safe_page)) | F.coalesce(prefix_removed, F.lit(False))
+    agree = (cell != "") & (page != "") & (folded(cell) == folded(page))
+    strong, sure = (page != "") & (page_score > 0.75), (cell != "") & (cell_score >= 0.90)
     pick = lambda text, source, warning=None: F.struct(text.alias("text"), F.lit(source).alias("source"), F.lit(warning).cast("string").alias("warning"))
-    low = F.when(~blank & (cell_score < 0.45), F.lit("low_ocr_confidence"))
-    own = F.struct(cell.alias("text"), F.lit("cell").alias("source"), low.alias("warning"))
+    own = pick(cell, "cell_pass")
     return (
-        F.when(F.coalesce(cell == page, F.lit(False)), own)
-        .when(blank & sure & safe, pick(page, "page_pass_blank_cell"))
-        .when(sure & safe & ~F.coalesce(cell_score >= 0.90, F.lit(False)), pick(page, "page"))
-        .when(blank & some & safe, pick(page, "fallback"))
-        .when(blank & ~safe & (F.coalesce(page, F.lit("")) != ""), pick(F.lit(""), "withheld", "cross_column_ocr_withheld"))
+        F.when(column == anchor_column, pick(anchor, "row_anchor"))
+        .when(agree, own)
+        .when((cell == "") & strong & reliable, pick(page, "page_pass_blank_cell"))
+        .when(strong & reliable & ~sure, pick(page, "page_pass"))
+        .when((cell == "") & (page != "") & (page_score >= 0.5) & reliable, pick(page, "page_pass_fallback"))
+        .when((cell == "") & (page != "") & ~reliable, pick(F.lit(""), "cross_column_page_withheld", "cross_column_ocr_withheld"))
         .otherwise(own)
     )
 

@@ -204,7 +204,7 @@ def deterministic_split(spark: SparkSession, d: str) -> DataFrame:
 
 DETERMINISTIC_SPLIT = """
 WITH h AS (SELECT doc_id, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 AS n FROM documents)
-SELECT doc_id, CASE WHEN n < 8 THEN 'train' WHEN n = 8 THEN 'val' ELSE 'test' END AS part FROM h
+SELECT doc_id, CASE WHEN n < 8 THEN 'train' WHEN n = 8 THEN 'validation' ELSE 'test' END AS part FROM h
 """
 
 
@@ -398,12 +398,15 @@ FIGURE_SUMMARY = """SELECT o_custkey, count(*) AS n, count(*) FILTER (o_ordersta
 
 def key_collisions(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("k"), (F.col("p_partkey") % 1500).cast("string")).alias("key"), F.col("p_brand").alias("identity"))
-    return L.key_collisions(p, "key", "identity").select("p_partkey", "identity", "key")
+    p = p.withColumns({"key": F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.col("key")), "members": F.array(F.concat(F.lit("m"), (F.col("p_partkey") % 700).cast("string")))})
+    return L.key_collisions(p, "key", "identity", "members").select("p_partkey", "identity", "key")
 
 
 KEY_COLLISIONS = """
-WITH p AS (SELECT p_partkey, 'k' || (p_partkey % 1500) AS key, p_brand AS identity FROM part), c AS (SELECT key, count(DISTINCT identity) > 1 AS shared FROM p GROUP BY key)
-SELECT p_partkey, identity, CASE WHEN shared THEN substr(sha256(p.key || '|' || identity), 1, 20) ELSE p.key END AS key FROM p JOIN c ON p.key = c.key
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'k' || (p_partkey % 1500) END AS key, p_brand AS identity, substr(sha256('m' || (p_partkey % 700)), 1, 20) AS made FROM part),
+c AS (SELECT key, key = '' OR count(DISTINCT identity || '/' || made) > 1 AS split FROM p GROUP BY key), s AS (SELECT p.*, split FROM p JOIN c ON p.key = c.key),
+f AS (SELECT *, min(identity) FILTER (split) OVER (PARTITION BY made) AS first, made IN (SELECT key FROM s WHERE NOT split) AS used FROM s)
+SELECT p_partkey, identity, CASE WHEN NOT split THEN key WHEN used OR identity <> first THEN substr(sha256(made || '|' || identity), 1, 20) ELSE made END AS key FROM f
 """
 
 

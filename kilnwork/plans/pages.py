@@ -67,16 +67,22 @@ UNION ALL SELECT page, round(y + gap * k / step, 6), number + k, true FROM (SELE
 
 def cell_arbitration(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    cell = F.when(F.col("l_partkey") % 4 == 0, "").otherwise(F.col("l_returnflag"))
-    page = F.when(F.col("l_partkey") % 3 == 0, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
-    r = T.reading(cell, F.col("l_discount") * 10, page, F.col("l_tax") * 12, F.col("l_suppkey") % 5 != 0)
+    cell = F.when(F.col("l_partkey") % 4 == 0, "").otherwise(F.concat(F.lit(" "), F.lower("l_returnflag"), F.lit("  x")))
+    page = F.when(F.col("l_partkey") % 5 == 0, "").when(F.col("l_partkey") % 3 == 0, F.concat("l_returnflag", F.lit(" X"))).otherwise(F.col("l_linestatus"))
+    safe = F.when(F.col("l_suppkey") % 5 != 0, F.lower(page)).otherwise("other")
+    column = F.when(F.col("l_linenumber") == 3, "table_no").otherwise("ware")
+    r = T.reading(cell, F.col("l_discount") * 10, page, F.col("l_tax") * 12, safe, F.col("l_suppkey") % 7 == 0, F.col("l_linenumber").cast("string"), column)
     return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r.alias("r")).groupBy("r.text", "r.source", "r.warning").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"))
 
 
-CELL_ARBITRATION = """
-WITH v AS (SELECT l_orderkey, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE l_returnflag END AS c, l_discount * 10 AS cs, CASE WHEN l_partkey % 3 = 0 THEN l_returnflag ELSE l_linestatus END AS p, l_tax * 12 AS ps, l_suppkey % 5 <> 0 AS safe FROM lineitem),
-k AS (SELECT *, CASE WHEN c = p THEN 'cell' WHEN c = '' AND ps > 0.75 AND safe THEN 'page_pass_blank_cell' WHEN ps > 0.75 AND safe AND NOT cs >= 0.90 THEN 'page' WHEN c = '' AND ps >= 0.5 AND safe THEN 'fallback' WHEN c = '' AND NOT safe THEN 'withheld' ELSE 'cell' END AS source FROM v)
-SELECT CASE source WHEN 'cell' THEN c WHEN 'withheld' THEN '' ELSE p END AS text, source, CASE WHEN source = 'withheld' THEN 'cross_column_ocr_withheld' WHEN source = 'cell' AND c <> '' AND cs < 0.45 THEN 'low_ocr_confidence' END AS warning,
+CELL_ARBITRATION = r"""
+WITH v AS (SELECT *, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE ' ' || lower(l_returnflag) || '  x' END AS c, l_discount * 10 AS cs, CASE WHEN l_partkey % 5 = 0 THEN '' WHEN l_partkey % 3 = 0 THEN l_returnflag || ' X' ELSE l_linestatus END AS p, l_tax * 12 AS ps FROM lineitem),
+w AS (SELECT *, CASE WHEN l_suppkey % 5 <> 0 THEN lower(p) ELSE 'other' END AS safe FROM v),
+g AS (SELECT *, lower(trim(regexp_replace(p, '\s+', ' ', 'g'))) AS fp, lower(trim(regexp_replace(c, '\s+', ' ', 'g'))) AS fc, lower(trim(regexp_replace(safe, '\s+', ' ', 'g'))) AS fs FROM w),
+k AS (SELECT *, CASE WHEN l_linenumber = 3 THEN 'row_anchor' WHEN c <> '' AND p <> '' AND fc = fp THEN 'cell_pass' WHEN c = '' AND p <> '' AND ps > 0.75 AND (fp = fs OR l_suppkey % 7 = 0) THEN 'page_pass_blank_cell'
+  WHEN p <> '' AND ps > 0.75 AND (fp = fs OR l_suppkey % 7 = 0) AND NOT (c <> '' AND cs >= 0.90) THEN 'page_pass' WHEN c = '' AND p <> '' AND ps >= 0.5 AND (fp = fs OR l_suppkey % 7 = 0) THEN 'page_pass_fallback'
+  WHEN c = '' AND p <> '' AND NOT (fp = fs OR l_suppkey % 7 = 0) THEN 'cross_column_page_withheld' ELSE 'cell_pass' END AS source FROM g)
+SELECT CASE source WHEN 'row_anchor' THEN CAST(l_linenumber AS VARCHAR) WHEN 'cell_pass' THEN c WHEN 'cross_column_page_withheld' THEN '' ELSE p END AS text, source, CASE WHEN source = 'cross_column_page_withheld' THEN 'cross_column_ocr_withheld' END AS warning,
  count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders FROM k GROUP BY ALL
 """
 
@@ -229,7 +235,17 @@ def iso_regression(spark: SparkSession, d: str) -> DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"])
         return pdf.assign(fitted=K.isotonic(pdf.value.to_numpy()))[["user_id", "event_id", "fitted"]]
 
-    return table(spark, d, "events").select("user_id", "event_id", "ts", "value").groupBy("user_id").applyInPandas(run, "user_id long, event_id long, fitted double")
+    fitted = table(spark, d, "events").select("user_id", "event_id", "ts", "value").groupBy("user_id").applyInPandas(run, "user_id long, event_id long, fitted double")
+    return fitted.withColumn("fitted", F.round("fitted", 6))
+
+
+#: The fit at a place is the highest over beginnings before it of the lowest over ends behind it of the means between.
+_SQL["iso_regression"] = """
+WITH e AS (SELECT user_id, event_id, value, row_number() OVER w AS n, sum(value) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT a.user_id, a.n AS s, b.n AS e, (b.c - a.c + a.value) / (b.n - a.n + 1) AS m FROM e a JOIN e b ON a.user_id = b.user_id AND b.n >= a.n),
+q AS (SELECT user_id, e, min(m) OVER (PARTITION BY user_id, s ORDER BY e DESC) AS low FROM p)
+SELECT e.user_id, event_id, round(max(low), 6) AS fitted FROM q JOIN e ON e.user_id = q.user_id AND e.n = q.e GROUP BY ALL
+"""
 
 
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
@@ -255,5 +271,5 @@ def unmatched_overrides(spark: SparkSession, d: str) -> DataFrame:
 
 _SQL["unmatched_overrides"] = "SELECT DISTINCT p_partkey * 3 AS p_partkey FROM part WHERE p_partkey * 3 NOT IN (SELECT p_partkey FROM part)"
 
-QUERIES = {n: globals()[n] for n in [*_SQL, "iso_regression", "greedy_match"]}
+QUERIES = {n: globals()[n] for n in [*_SQL, "greedy_match"]}
 ORACLE_SQL = dict(_SQL)

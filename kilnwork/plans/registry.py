@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnwork.plans import curation, linking, pages, search
+from kilnwork.plans import curation, linking, pages, records, search, workflow
 
-QUERIES: dict = {**linking.QUERIES, **search.QUERIES, **pages.QUERIES, **curation.QUERIES}
-ORACLE_SQL: dict = {**linking.ORACLE_SQL, **search.ORACLE_SQL, **pages.ORACLE_SQL, **curation.ORACLE_SQL}
+QUERIES: dict = {**linking.QUERIES, **search.QUERIES, **pages.QUERIES, **curation.QUERIES, **records.QUERIES, **workflow.QUERIES}
+ORACLE_SQL: dict = {**linking.ORACLE_SQL, **search.ORACLE_SQL, **pages.ORACLE_SQL, **curation.ORACLE_SQL, **records.ORACLE_SQL, **workflow.ORACLE_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,17 @@ def local_session(app: str = "kilnwork", cores: str = "*", shuffle_partitions: i
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, in spark.checkpoint.dir; on one machine a temporary one where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='kilnwork-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/kilnwork/{spark.sparkContext.applicationId}"
+
+
 def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     """Partitions for a shuffle of whole rows of ``df``: the session's setting, or more if the planner's size estimate asks for it."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ def rows(df):
 
 
 def test_json_and_ascii(spark):
-    cases = {'```json\n{"a": 1,}\n```': {"a": 1}, "text {“a”: [1, 2,]} more": {"a": [1, 2]}, '{"a": {"b": "x': {"a": {"b": "x"}}, '[1, {"k": 2}, {"q"': [1, {"k": 2}, {}], "none": None, "": None, None: None}
+    cases = {'```json\n{"a": 1,}\n```': {"a": 1}, "text {“a”: [1, 2,]} more": {"a": [1, 2]}, '{"a": {"b": "x': None, '{"a": [{"b": 1}, {"c": ': {"a": [{"b": 1}]}, '[1, {"k": 2}, {"q"': {"k": 2}, "none": None, "": None, None: None}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
     got = {r.i: r.j for r in df.select("i", C.repaired_json("t").alias("j")).collect()}
     for i, want in enumerate(cases.values()):

@@ -31,6 +31,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+OP1_SQL = r"""
+WITH dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS q FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+hits AS (SELECT doc_id, item_id, p - q AS g, p, CASE WHEN n < 7 THEN n ELSE greatest(7, least(13, ceil(0.7 * n))) END AS needed FROM dw JOIN bw ON dw.word = bw.word),
+-- Every diagonal with enough equal words; the score before its j-th equal word, and the lowest of those so far.
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, g ORDER BY p) AS j, count(*) OVER (PARTITION BY doc_id, item_id, g) AS n FROM hits),
+s AS (SELECT *, 2.5::DOUBLE * (j - 1) - 1.5::DOUBLE * (p - greatest(0, g)) AS before FROM k WHERE n >= needed),
+l AS (SELECT *, min({'b': before, 'i': j, 'p': p}) OVER (PARTITION BY doc_id, item_id, g ORDER BY p ROWS UNBOUNDED PRECEDING) AS low FROM s),
+best AS (SELECT doc_id, item_id, needed, g, min({'s': low.b - before - 1, 'j': j, 'i': low.i, 'first': low.p, 'end': p + 1}) AS m FROM l GROUP BY ALL),
+r AS (SELECT doc_id, item_id, min({'e': m.i - m.j - 1, 'first': m.first, 'end': m.end}) AS m FROM best WHERE m.j - m.i + 1 >= needed GROUP BY ALL)
+SELECT doc_id, item_id, CAST(-m.e AS BIGINT) AS n_equal, m.first AS first_word, m.end AS end_word, -m.e / (m.end - m.first) AS share FROM r
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's toxicity, learnt from the labelled rows that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -137,6 +151,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
 }
 ORACLE_SQL = {
+    "op1_decontamination": OP1_SQL,
     "op3_url_filter": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
 }

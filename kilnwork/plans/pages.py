@@ -271,5 +271,22 @@ def unmatched_overrides(spark: SparkSession, d: str) -> DataFrame:
 
 _SQL["unmatched_overrides"] = "SELECT DISTINCT p_partkey * 3 AS p_partkey FROM part WHERE p_partkey * 3 NOT IN (SELECT p_partkey FROM part)"
 
-QUERIES = {n: globals()[n] for n in [*_SQL, "greedy_match"]}
+#: A page's detections one after the other, each with the boxes that are taken already.
+_SQL["greedy_match"] = """
+WITH RECURSIVE b AS (SELECT *, l_orderkey::VARCHAR AS page, (l_partkey % 40)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, l_partkey % 40 + l_quantity AS x2, l_suppkey % 40 + l_quantity AS y2 FROM lineitem),
+f AS (SELECT page, row_number() OVER w AS n, x1, y1, x2, y2 FROM b WHERE l_returnflag = 'R' WINDOW w AS (PARTITION BY page ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
+p AS (SELECT page, row_number() OVER w AS v, x1, y1, x2, y2, CASE l_returnflag WHEN 'A' THEN 'approved' ELSE 'pending' END AS status FROM b WHERE l_returnflag <> 'R' WINDOW w AS (PARTITION BY page ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
+i AS (SELECT f.page, n, v, greatest(least(f.x2, p.x2) - greatest(f.x1, p.x1), 0) * greatest(least(f.y2, p.y2) - greatest(f.y1, p.y1), 0) AS c, (f.x2 - f.x1) * (f.y2 - f.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS s FROM f JOIN p ON f.page = p.page),
+o AS (SELECT page, n, list({'u': -c / (s - c), 'v': v} ORDER BY -c / (s - c), v) AS near FROM i WHERE s - c > 0 AND c / (s - c) >= 0.5 GROUP BY ALL),
+g AS (SELECT f.*, list_transform(coalesce(near, []), lambda x: x.v) AS near FROM f LEFT JOIN o ON o.page = f.page AND o.n = f.n),
+r(page, n, v, taken) AS (SELECT page, n, near[1], CASE WHEN len(near) > 0 THEN [near[1]] ELSE [] END FROM g WHERE n = 1
+ UNION ALL SELECT x.page, x.n, x.v, CASE WHEN x.v IS NULL THEN x.taken ELSE list_append(x.taken, x.v) END FROM (SELECT g.page, g.n, r.taken, list_filter(g.near, lambda y: NOT list_contains(r.taken, y))[1] AS v FROM r JOIN g ON g.page = r.page AND g.n = r.n + 1) x),
+t AS (SELECT page, max(v) AS top FROM p GROUP BY page)
+SELECT f.page, coalesce(r.v, coalesce(top, -1) + count(*) FILTER (r.v IS NULL) OVER (PARTITION BY f.page ORDER BY f.n)) AS vessel_id, CASE WHEN p.status = 'approved' THEN p.x1 ELSE f.x1 END AS x1, CASE WHEN p.status = 'approved' THEN p.y1 ELSE f.y1 END AS y1,
+ CASE WHEN p.status = 'approved' THEN p.x2 ELSE f.x2 END AS x2, CASE WHEN p.status = 'approved' THEN p.y2 ELSE f.y2 END AS y2, 0.9::DOUBLE AS confidence, coalesce(p.status, 'pending') AS status, 'detector' AS source, false AS stale, coalesce(p.status <> 'approved', true) AS moved
+FROM f JOIN r ON r.page = f.page AND r.n = f.n LEFT JOIN p ON p.page = f.page AND p.v = r.v LEFT JOIN t ON t.page = f.page
+UNION ALL SELECT page, v, x1, y1, x2, y2, NULL, status, 'detector', true, false FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.page = p.page AND r.v = p.v)
+"""
+
+QUERIES = {n: globals()[n] for n in _SQL}
 ORACLE_SQL = dict(_SQL)

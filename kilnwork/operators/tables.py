@@ -11,16 +11,33 @@ from pyspark.sql import functions as F
 from kilnwork.functions import kernels as K
 
 
-def text_lines(tokens: DataFrame) -> DataFrame:
-    """Tokens (page, text, score, x1, y1, x2, y2) with the number of their line from the top. A page is one group: the
-    running mean of a line depends on its tokens' order."""
-    schema = tokens.select("page", "text", "score", "x1", "y1", "x2", "y2").withColumn("line", F.lit(0)).schema
+def _in_lines(rows: DataFrame, centre: Column, height: Column, order: list[str], least: float, share: float, most: float) -> DataFrame:
+    """Rows of pages (page) with the number of their line, ``_line``: one after the other by centre, a new line where a
+    centre is beyond the running mean of the line by ``share`` of the page's median height, within least and most.
+
+    A line's mean depends on its rows' order, so a page is one array: at most its few tokens.
+    """
+    kept = [c for c in rows.columns if c != "page"]
+    held = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(centre.alias("_c"), *order, *[c for c in kept if c not in order]))).alias("_rows"), F.percentile(height, 0.5).alias("_height"))
+    gap = F.least(F.greatest(F.lit(least), share * F.col("_height")), F.lit(most))
+
+    def step(at: Column, x: Column) -> Column:
+        new = (at["n"] == 0) | (F.abs(x["_c"] - at["total"] / F.greatest(at["n"], F.lit(1))) > at["gap"])
+        line = at["line"] + new.cast("int")
+        return F.struct(
+            line.alias("line"), F.when(new, x["_c"]).otherwise(at["total"] + x["_c"]).alias("total"), F.when(new, 1).otherwise(at["n"] + 1).alias("n"), at["gap"].alias("gap"), F.concat(at["lines"], F.array(line)).alias("lines"),
+        )
+
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), gap.cast("double").alias("gap"), F.array().cast("array<int>").alias("lines"))
+    lines = held.withColumn("_lines", F.aggregate("_rows", start, step, lambda at: at["lines"]))
+    return lines.select("page", F.explode(F.arrays_zip("_rows", "_lines")).alias("z")).select("page", *[F.col(f"z._rows.{c}").alias(c) for c in kept], F.col("z._lines").alias("_line"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y1", "x1", "text"])
-        return pdf.assign(line=K.lines_of(((pdf.y1 + pdf.y2) / 2).to_numpy(), (pdf.y2 - pdf.y1).to_numpy()).astype("int32"))
 
-    return tokens.select("page", "text", "score", "x1", "y1", "x2", "y2").groupBy("page").applyInPandas(run, schema)
+def text_lines(tokens: DataFrame) -> DataFrame:
+    """Tokens (page, text, score, x1, y1, x2, y2) with the number of their line from the top."""
+    rows = tokens.select("page", "text", "score", "x1", "y1", "x2", "y2")
+    middle = ((F.col("y1") + F.col("y2")) / 2).cast("double")
+    return _in_lines(rows, middle, F.col("y2") - F.col("y1"), ["y1", "x1", "text"], 5.0, 0.65, float("inf")).withColumnRenamed("_line", "line")
 
 
 #: Room before a heading: its height's share, at least and at most so many pixels; and the least score of a heading (fixed values).
@@ -83,21 +100,12 @@ def even_bounds(centres: list[float], low: float, high: float, width: Column) ->
 
 def row_anchors(candidates: DataFrame) -> DataFrame:
     """(page, y, text, conflict): candidates (page, y, height, text, expected, page_pass, exact, score) of one physical row
-    have one winner: the expected, then whole-page, then exact, then best scored, then longest one, the first of equals;
-    conflict says whether texts differ.
-
-    A row's running mean depends on its candidates' order, so a page is one group: at most its few candidates.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "text"], kind="stable")
-        row = K.lines_of(pdf.y.to_numpy(float), pdf.height.to_numpy(float), 8.0, 0.72, 24.0)
-        return pdf.assign(row=row.astype("int32"))
-
+    have one winner: the expected, then whole-page, then exact, then best scored, then longest one, then the upper and
+    smaller; conflict says whether texts differ."""
     held = candidates.select("page", "y", "height", "text", "expected", "page_pass", "exact", "score")
-    rows = held.groupBy("page").applyInPandas(run, held.withColumn("row", F.lit(0)).schema)
-    rank = F.struct(F.col("expected").cast("int"), F.col("page_pass").cast("int"), F.col("exact").cast("int"), "score", F.length("text"), -F.col("y"))
-    best = rows.groupBy("page", "row").agg(F.max_by(F.struct("y", "text"), rank).alias("b"), (F.count_distinct("text") > 1).alias("conflict"))
+    rows = _in_lines(held, F.col("y").cast("double"), F.col("height"), ["y", "text"], 8.0, 0.72, 24.0)
+    rank = F.struct(*[(~F.col(c)).cast("int").alias(c) for c in ("expected", "page_pass", "exact")], -F.col("score"), -F.length("text"), "y", "text")
+    best = rows.groupBy("page", "_line").agg(F.min_by(F.struct("y", "text"), rank).alias("b"), (F.count_distinct("text") > 1).alias("conflict"))
     return best.select("page", "b.y", "b.text", "conflict")
 
 

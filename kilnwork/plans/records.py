@@ -69,16 +69,16 @@ _NAMES = "CASE p_partkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'A' WHEN 2 THEN 'a-2' W
 
 
 def export_names(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey < 400").select("p_partkey", F.expr(_NAMES).alias("base"))
+    p = table(spark, d, "part").select("p_partkey", F.expr(_NAMES).alias("base"))
     return L.unique_names(p, "base", ["p_partkey"]).select("p_partkey", "base", "name")
 
 
 EXPORT_NAMES = f"""
-WITH RECURSIVE p AS (SELECT p_partkey, {_NAMES} AS base, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey < 400),
+WITH RECURSIVE p AS (SELECT p_partkey, {_NAMES} AS base, row_number() OVER (ORDER BY p_partkey) AS n FROM part),
 r(n, p_partkey, base, name, seen) AS (
  SELECT n, p_partkey, base, base, [lower(base)] FROM p WHERE n = 1
  UNION ALL SELECT x.n, x.p_partkey, x.base, x.name, list_append(x.seen, lower(x.name)) FROM (
-  SELECT p.n, p.p_partkey, p.base, r.seen, CASE WHEN NOT list_contains(r.seen, lower(p.base)) THEN p.base ELSE p.base || '-' || list_filter(range(2, 500), lambda k: NOT list_contains(r.seen, lower(p.base) || '-' || k))[1] END AS name
+  SELECT p.n, p.p_partkey, p.base, r.seen, CASE WHEN NOT list_contains(r.seen, lower(p.base)) THEN p.base ELSE p.base || '-' || list_filter(range(2, 5000), lambda k: NOT list_contains(r.seen, lower(p.base) || '-' || k))[1] END AS name
   FROM r JOIN p ON p.n = r.n + 1) x)
 SELECT p_partkey, base, name FROM r
 """
@@ -124,25 +124,25 @@ SELECT p_partkey, regexp_matches(t, '\bno\b') AND regexp_matches(t, '\btype\b')
 
 
 def ocr_texts(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where("turn < 3")
+    c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", C.printable_ascii(F.concat(F.lit(" "), F.col("text"), F.lit("é漢\t!\r"))).alias("shown"))
 
 
 OCR_TEXTS = r"""
-SELECT conv_id, turn, trim(regexp_replace(' ' || text || 'é漢' || chr(9) || '!' || chr(13), '[^\x20-\x7E\n\t]', '', 'g'), ' ' || chr(9) || chr(10)) AS shown FROM conversations WHERE turn < 3
+SELECT conv_id, turn, trim(regexp_replace(' ' || text || 'é漢' || chr(9) || '!' || chr(13), '[^\x20-\x7E\n\t]', '', 'g'), ' ' || chr(9) || chr(10)) AS shown FROM conversations
 """
 
 _ANSWERS = """CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN 'Here: ' || replace(props, '}', ',}') || ' done' WHEN 2 THEN '{"k": [{"a": 1}, {"a": ' WHEN 3 THEN 'no answer' ELSE '{"a": "x", "b": [1, 2,], }' END"""
 
 
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 20 < 5")
+    e = table(spark, d, "events")
     a = C.repaired_json(F.expr(_ANSWERS))
     return e.select("event_id", F.get_json_object(a, "$.k").alias("k"), F.get_json_object(a, "$.b[1]").alias("b"), a.isNull().alias("none"))
 
 
 MODEL_ANSWERS = """
-SELECT event_id, CASE event_id % 5 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 1 THEN json_extract_string(props, '$.k') WHEN 2 THEN '[{"a":1}]' END AS k, CASE WHEN event_id % 5 = 4 THEN '2' END AS b, event_id % 5 = 3 AS none FROM events WHERE event_id % 20 < 5
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 1 THEN json_extract_string(props, '$.k') WHEN 2 THEN '[{"a":1}]' END AS k, CASE WHEN event_id % 5 = 4 THEN '2' END AS b, event_id % 5 = 3 AS none FROM events
 """
 
 
@@ -194,7 +194,7 @@ _COLOUR_SQL = r"""
 
 
 def colour_similarities(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey < 300")
+    p = table(spark, d, "part")
     a, b = F.expr(_COLOURS.format(k="p_partkey")), F.expr(_COLOURS.format(k="(p_partkey * 7 + p_size)"))
     chip = S.munsell(a)
     label = S.munsell_labels(chip)
@@ -202,7 +202,7 @@ def colour_similarities(spark: SparkSession, d: str) -> DataFrame:
 
 
 COLOUR_SIMILARITIES = (
-    f"WITH x AS (SELECT p_partkey, {_COLOURS.format(k='p_partkey')} AS a, {_COLOURS.format(k='(p_partkey * 7 + p_size)')} AS b FROM part WHERE p_partkey < 300),"
+    f"WITH x AS (SELECT p_partkey, {_COLOURS.format(k='p_partkey')} AS a, {_COLOURS.format(k='(p_partkey * 7 + p_size)')} AS b FROM part),"
     + _COLOUR_SQL
     + """SELECT p_partkey, round(compat, 6) AS compat, z[1].f AS family,
  CASE WHEN ca.h <> '' THEN list_sort(list_transform([{'c': 1.00, 'n': 'R/10R'}, {'c': 1.25, 'n': '2.5YR'}, {'c': 1.50, 'n': '5YR'}, {'c': 1.75, 'n': '7.5YR'}, {'c': 2.10, 'n': '10YR/Y'}], lambda q, i: {'gap': abs(ha - q.c::DOUBLE), 'i': i, 'n': q.n}))[1].n END AS hue_label,

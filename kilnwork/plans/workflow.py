@@ -22,8 +22,8 @@ from kilnwork.sources.tables import table
 def _crops(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Crops that name a page's image, and pages with their source."""
     o = table(spark, d, "orders")
-    crops = o.select(F.col("o_orderkey").alias("crop"), F.concat(F.lit("scan_"), (F.col("o_custkey") % 200).cast("string")).alias("image"))
-    pages = table(spark, d, "customer").where("c_custkey < 150").select(F.concat(F.lit("scan_"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".jpg").otherwise("")).alias("page_image"), F.concat(F.lit("pdf"), F.col("c_nationkey").cast("string")).alias("source"))
+    crops = o.select(F.col("o_orderkey").alias("crop"), F.concat(F.lit("scan_"), (F.col("o_custkey") * 2).cast("string")).alias("image"))
+    pages = table(spark, d, "customer").select(F.concat(F.lit("scan_"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".jpg").otherwise("")).alias("page_image"), F.concat(F.lit("pdf"), F.col("c_nationkey").cast("string")).alias("source"))
     return crops, pages
 
 
@@ -32,7 +32,7 @@ def crop_sources(spark: SparkSession, d: str) -> DataFrame:
     return C.crop_sources(crops, pages, "image", "page_image", "source")
 
 
-CROP_SOURCES = "SELECT o_orderkey AS crop, 'scan_' || (o_custkey % 200) AS image, 'pdf' || c_nationkey AS source FROM orders LEFT JOIN customer ON c_custkey = o_custkey % 200 AND c_custkey < 150"
+CROP_SOURCES = "SELECT o_orderkey AS crop, 'scan_' || (o_custkey * 2) AS image, 'pdf' || c_nationkey AS source FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2"
 
 
 def scoped_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -40,15 +40,15 @@ def scoped_targets(spark: SparkSession, d: str) -> DataFrame:
     return C.crop_sources(crops, pages, "image", "page_image", "source").where(F.col("source") == "pdf3").select("crop")
 
 
-SCOPED_TARGETS = "SELECT o_orderkey AS crop FROM orders JOIN customer ON c_custkey = o_custkey % 200 AND c_custkey < 150 WHERE c_nationkey = 3"
+SCOPED_TARGETS = "SELECT o_orderkey AS crop FROM orders JOIN customer ON c_custkey = o_custkey * 2 WHERE c_nationkey = 3"
 
 
 def page_siblings(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey < 400").select(F.col("c_nationkey").alias("pdf"), F.floor(F.col("c_custkey") / 50).alias("index"), F.col("c_name").alias("image"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("pdf"), F.floor(F.col("c_custkey") / 50).alias("index"), F.col("c_name").alias("image"))
     return C.siblings(c, "pdf", "index", "image")
 
 
-PAGE_SIBLINGS = "SELECT a.c_name AS image, b.c_name AS sibling FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey // 50 = b.c_custkey // 50 AND a.c_name <> b.c_name WHERE a.c_custkey < 400 AND b.c_custkey < 400"
+PAGE_SIBLINGS = "SELECT a.c_name AS image, b.c_name AS sibling FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey // 50 = b.c_custkey // 50 AND a.c_name <> b.c_name"
 
 
 def linked_contours(spark: SparkSession, d: str) -> DataFrame:
@@ -79,13 +79,13 @@ STAGED_NUMBERS = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN o_orderst
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of the pages of a few orders: a text at a place."""
-    l = table(spark, d, "lineitem").where("l_orderkey % 4 = 0")
+    """Tokens of each order's page: a text at a place."""
+    l = table(spark, d, "lineitem")
     x, y = (F.col("l_partkey") % 90).cast("double"), (F.col("l_suppkey") % 40 + F.col("l_linenumber") * 7).cast("double")
     return l.select(F.col("l_orderkey").cast("string").alias("page"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int")).alias("text"), (F.col("l_discount") * 10).alias("score"), x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity")).alias("x2"), (y + 6).alias("y2")).distinct()
 
 
-_TOKENS = "SELECT DISTINCT l_orderkey::VARCHAR AS page, l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || l_quantity::INT AS text, l_discount * 10 AS score, (l_partkey % 90)::DOUBLE AS x1, (l_suppkey % 40 + l_linenumber * 7)::DOUBLE AS y1, (l_partkey % 90) + l_quantity AS x2, (l_suppkey % 40 + l_linenumber * 7 + 6)::DOUBLE AS y2 FROM lineitem WHERE l_orderkey % 4 = 0"
+_TOKENS = "SELECT DISTINCT l_orderkey::VARCHAR AS page, l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || l_quantity::INT AS text, l_discount * 10 AS score, (l_partkey % 90)::DOUBLE AS x1, (l_suppkey % 40 + l_linenumber * 7)::DOUBLE AS y1, (l_partkey % 90) + l_quantity AS x2, (l_suppkey % 40 + l_linenumber * 7 + 6)::DOUBLE AS y2 FROM lineitem"
 
 
 def cell_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ ANCHOR_CHOICE = f"""
 WITH RECURSIVE t AS ({_TOKENS}), o AS (SELECT page, y1 * 8 AS y, text, x1 % 2 = 0 AS e, x2 % 2 = 0 AS p, y1 % 2 = 0 AS x, score, row_number() OVER (PARTITION BY page ORDER BY y1, text) AS n FROM t),
 r AS (SELECT page, n, 0 AS line, y AS total, 1 AS k FROM o WHERE n = 1
  UNION ALL SELECT o.page, o.n, CASE WHEN abs(o.y - r.total / r.k) > 14.4 THEN r.line + 1 ELSE r.line END, CASE WHEN abs(o.y - r.total / r.k) > 14.4 THEN o.y ELSE r.total + o.y END, CASE WHEN abs(o.y - r.total / r.k) > 14.4 THEN 1 ELSE r.k + 1 END FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1),
-j AS (SELECT o.*, line, row_number() OVER (PARTITION BY o.page, line ORDER BY e DESC, p DESC, x DESC, score DESC, length(text) DESC, y) AS place, count(DISTINCT text) OVER (PARTITION BY o.page, line) > 1 AS conflict FROM o JOIN r ON o.page = r.page AND o.n = r.n)
+j AS (SELECT o.*, line, row_number() OVER (PARTITION BY o.page, line ORDER BY e DESC, p DESC, x DESC, score DESC, length(text) DESC, y, text) AS place, count(DISTINCT text) OVER (PARTITION BY o.page, line) > 1 AS conflict FROM o JOIN r ON o.page = r.page AND o.n = r.n)
 SELECT page, y, text, conflict FROM j WHERE place = 1
 """
 
@@ -226,26 +226,26 @@ SELECT vec_id, list_transform(range(1, 9), lambda i: round((99 - embedding[i * 2
 
 
 def coefficient_bank(spark: SparkSession, d: str) -> DataFrame:
-    """Signals rebuilt from eight coefficients, and their nearest reference of ten by the distance of the rebuilt signals."""
-    e = table(spark, d, "embeddings").select("vec_id", B.inverse_dct(B.dct(F.slice("embedding", 1, 16), 16, 8), 16, 8).alias("s"))
+    """Signals rebuilt from eight coefficients, and their nearest reference, the first signal of each label, by the distance of the rebuilt signals."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", B.inverse_dct(B.dct(F.slice("embedding", 1, 16), 16, 8), 16, 8).alias("s"))
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("s").alias("q"))
-    banked = e.where("vec_id BETWEEN 1 AND 10")
+    banked = Q.one_of_each(e, ["label"], [F.col("vec_id")])
     scored = queries.join(F.broadcast(banked)).withColumn("rmsd", B.rms_distance(F.col("q"), F.col("s")))
     best = scored.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "rmsd"), F.struct("rmsd", "vec_id")).alias("b"))
     return best.select("query_id", F.col("b.vec_id").alias("ref_id"), F.round("b.rmsd", 6).alias("rmsd"))
 
 
 COEFFICIENT_BANK = """
-WITH c AS (SELECT vec_id, list_transform(range(8), lambda k: sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / 16.0) * list_sum(list_transform(range(16), lambda i: embedding[i + 1]::DOUBLE * cos(pi() / 16 * (i + 0.5) * k)))) AS c FROM embeddings WHERE vec_id % 20 = 0 OR vec_id BETWEEN 1 AND 10),
+WITH c AS (SELECT vec_id, list_transform(range(8), lambda k: sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / 16.0) * list_sum(list_transform(range(16), lambda i: embedding[i + 1]::DOUBLE * cos(pi() / 16 * (i + 0.5) * k)))) AS c FROM embeddings),
 s AS (SELECT vec_id, list_transform(range(16), lambda i: list_sum(list_transform(range(8), lambda k: c[k + 1] * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / 16.0) * cos(pi() / 16 * (i + 0.5) * k)))) AS s FROM c),
-p AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, sqrt(list_sum(list_transform(range(1, 17), lambda i: pow(q.s[i] - r.s[i], 2))) / 16) AS rmsd FROM s q JOIN s r ON q.vec_id % 20 = 0 AND r.vec_id BETWEEN 1 AND 10)
+p AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, sqrt(list_sum(list_transform(range(1, 17), lambda i: pow(q.s[i] - r.s[i], 2))) / 16) AS rmsd FROM s q JOIN s r ON q.vec_id % 20 = 0 AND r.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
 SELECT query_id, ref_id, round(rmsd, 6) AS rmsd FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rmsd, ref_id) = 1
 """
 
 
 def variant_scan(spark: SparkSession, d: str) -> DataFrame:
     """Each query's five nearest references, by the least squared distance of any of its two variants and their three."""
-    e = table(spark, d, "embeddings").where("vec_id < 1000")
+    e = table(spark, d, "embeddings")
     part = lambda a: F.transform(F.slice("embedding", a, 16), lambda v: v.cast("double"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(part(1), part(17))).alias("q"))
     r = e.select(F.col("vec_id").alias("ref_id"), F.col("label"), F.explode(F.array(part(1), part(17), part(33))).alias("r"))
@@ -256,7 +256,7 @@ def variant_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 VARIANT_SCAN = """
-WITH e AS (SELECT vec_id, [embedding[1:16], embedding[17:32], embedding[33:48]] AS v FROM embeddings WHERE vec_id < 1000), q AS (SELECT vec_id AS query_id, unnest(v[1:2]) AS q FROM e WHERE vec_id % 20 = 0), r AS (SELECT vec_id AS ref_id, unnest(v) AS r FROM e),
+WITH e AS (SELECT vec_id, [embedding[1:16], embedding[17:32], embedding[33:48]] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, unnest(v[1:2]) AS q FROM e WHERE vec_id % 20 = 0), r AS (SELECT vec_id AS ref_id, unnest(v) AS r FROM e),
 s AS (SELECT query_id, ref_id, min(list_sum(list_transform(range(1, 17), lambda i: pow(q[i]::DOUBLE - r[i]::DOUBLE, 2)))) AS score FROM q JOIN r ON query_id <> ref_id GROUP BY ALL)
 SELECT query_id, ref_id, row_number() OVER (PARTITION BY query_id ORDER BY score, ref_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 5
 """
@@ -352,10 +352,10 @@ WARNING_DEDUPE = "WITH e AS (SELECT substr(sha256(event_type || '|m|' || (user_i
 
 
 def row_operations(spark: SparkSession, d: str) -> DataFrame:
-    """A figure's rows after one is deleted, one doubled, one added and all sorted by number; and what differs from before."""
+    """Each figure's rows after some are deleted, some doubled, one added and all sorted by number."""
     from kilnwork.functions import text as X
 
-    p = table(spark, d, "part").where("p_partkey < 60").select(F.col("p_brand").alias("figure"), F.col("p_partkey").cast("double").alias("ord"), F.concat(F.col("p_size").cast("string"), F.lit("a")).alias("no"))
+    p = table(spark, d, "part").select(F.col("p_brand").alias("figure"), F.col("p_partkey").cast("double").alias("ord"), F.concat(F.col("p_size").cast("string"), F.lit("a")).alias("no"))
     kept = p.where("ord % 7 <> 0")
     doubled = kept.where("ord % 5 = 0").withColumn("ord", F.col("ord") + 0.5)
     added = kept.select("figure").distinct().select("figure", F.lit(1e6).alias("ord"), F.lit("0").alias("no"))
@@ -365,7 +365,7 @@ def row_operations(spark: SparkSession, d: str) -> DataFrame:
 
 
 ROW_OPERATIONS = """
-WITH p AS (SELECT p_brand AS figure, p_partkey::DOUBLE AS ord, p_size AS size FROM part WHERE p_partkey < 60 AND p_partkey % 7 <> 0), u AS (SELECT figure, ord, size, size || 'a' AS no FROM p UNION ALL SELECT figure, ord + 0.5, size, size || 'a' FROM p WHERE ord % 5 = 0 UNION ALL SELECT DISTINCT figure, 1e6, 0, '0' FROM p)
+WITH p AS (SELECT p_brand AS figure, p_partkey::DOUBLE AS ord, p_size AS size FROM part WHERE p_partkey % 7 <> 0), u AS (SELECT figure, ord, size, size || 'a' AS no FROM p UNION ALL SELECT figure, ord + 0.5, size, size || 'a' FROM p WHERE ord % 5 = 0 UNION ALL SELECT DISTINCT figure, 1e6, 0, '0' FROM p)
 SELECT figure, no, ord, row_number() OVER (PARTITION BY figure ORDER BY size, ord) - 1 AS place FROM u
 """
 
@@ -408,14 +408,14 @@ UNION ALL SELECT 'several_references', target FROM t WHERE target IN (SELECT tar
 
 
 def diagnostics_side_table(spark: SparkSession, d: str) -> DataFrame:
-    """Old states migrated: the evidence of one page out of the side table, and the states' new version."""
+    """Old states migrated: the evidence of each out of the side table, and the states' new version."""
     l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("cell"), F.col("l_quantity").alias("confidence"))).alias("diagnostics"))
     states, side = C.migrated(l, "diagnostics", "l_orderkey")
-    own = side.where("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("cells"), F.sum("confidence").alias("confidence"))
+    own = side.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("cells"), F.sum("confidence").alias("confidence"))
     return own.join(states, "l_orderkey").select("l_orderkey", "cells", "confidence", F.col("version").cast("long").alias("version"))
 
 
-DIAGNOSTICS_SIDE_TABLE = "SELECT l_orderkey, count(*) AS cells, sum(l_quantity) AS confidence, 2::BIGINT AS version FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_orderkey"
+DIAGNOSTICS_SIDE_TABLE = "SELECT l_orderkey, count(*) AS cells, sum(l_quantity) AS confidence, 2::BIGINT AS version FROM lineitem GROUP BY l_orderkey"
 
 
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -432,13 +432,13 @@ CSV_ROUND_TRIP = """SELECT c_custkey::VARCHAR AS c_custkey, c_name || ', "a"' AS
 def document_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Nested records written as documents and read back by their schema, in order of (exported, run)."""
     folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    o = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("run_id"), F.struct(F.col("o_orderstatus").alias("status"), F.array("o_orderpriority").alias("notes")).alias("result"), F.col("o_orderdate").cast("string").alias("exported_at"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.struct(F.col("o_orderstatus").alias("status"), F.array("o_orderpriority").alias("notes")).alias("result"), F.col("o_orderdate").cast("string").alias("exported_at"))
     o.repartition(3).write.json(folder)
     found = spark.read.schema("run_id long, result struct<status:string,notes:array<string>>, exported_at string").json(folder)
     return found.select("run_id", "result.status", F.get("result.notes", 0).alias("note"), F.row_number().over(W.partitionBy("result.status").orderBy("exported_at", "run_id")).cast("long").alias("place"))
 
 
-DOCUMENT_ROUND_TRIP = "SELECT o_orderkey AS run_id, o_orderstatus AS status, o_orderpriority AS note, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderkey < 500"
+DOCUMENT_ROUND_TRIP = "SELECT o_orderkey AS run_id, o_orderstatus AS status, o_orderpriority AS note, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS place FROM orders"
 
 
 def versioned_table(spark: SparkSession, d: str) -> DataFrame:

@@ -236,7 +236,8 @@ def iso_regression(spark: SparkSession, d: str) -> DataFrame:
         return pdf.assign(fitted=K.isotonic(pdf.value.to_numpy()))[["user_id", "event_id", "fitted"]]
 
     fitted = table(spark, d, "events").select("user_id", "event_id", "ts", "value").groupBy("user_id").applyInPandas(run, "user_id long, event_id long, fitted double")
-    return fitted.withColumn("fitted", F.round("fitted", 6))
+    # Halves of the last place go up on either side.
+    return fitted.withColumn("fitted", F.round(F.col("fitted") + 1e-9, 6))
 
 
 #: The fit at a place is the highest over beginnings before it of the lowest over ends behind it of the means between.
@@ -244,7 +245,7 @@ _SQL["iso_regression"] = """
 WITH e AS (SELECT user_id, event_id, value, row_number() OVER w AS n, sum(value) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 p AS (SELECT a.user_id, a.n AS s, b.n AS e, (b.c - a.c + a.value) / (b.n - a.n + 1) AS m FROM e a JOIN e b ON a.user_id = b.user_id AND b.n >= a.n),
 q AS (SELECT user_id, e, min(m) OVER (PARTITION BY user_id, s ORDER BY e DESC) AS low FROM p)
-SELECT e.user_id, event_id, round(max(low), 6) AS fitted FROM q JOIN e ON e.user_id = q.user_id AND e.n = q.e GROUP BY ALL
+SELECT e.user_id, event_id, round(max(low) + 1e-9::DOUBLE, 6) AS fitted FROM q JOIN e ON e.user_id = q.user_id AND e.n = q.e GROUP BY ALL
 """
 
 

@@ -33,7 +33,7 @@ SELECT p_partkey, CASE WHEN regexp_full_match(g, '[a-z]?\d+(\.\d+)*[a-z]?') THEN
  CASE WHEN regexp_matches(lower(c), '\.(png|jpg|jpeg)$') THEN regexp_replace(c, '\.[^.]*$', '') ELSE c END AS stem, c || '_page_' || (p_partkey % 9) || CASE WHEN p_partkey % 2 = 0 THEN '_left' ELSE '' END || '.jpg' AS image FROM b
 """
 
-_PAGES = """CASE p_partkey % 6 WHEN 0 THEN 'IRON AGE   ' || p_size || chr(10) || 'x 3.5' WHEN 1 THEN 'A B' || chr(10) || ' ' || p_size || ' ' || chr(10) || 'TELL HESBAN 7' WHEN 2 THEN 'see 3.5 and p. ' || p_size || ', 12345'
+_PAGES = """CASE p_partkey % 6 WHEN 0 THEN 'IRON AGE   ' || p_size || chr(10) || 'x 3.5' WHEN 1 THEN 'A B' || chr(10) || ' ' || p_size || ' ' || chr(10) || 'UPPER TOWN 7' WHEN 2 THEN 'see 3.5 and p. ' || p_size || ', 12345'
  WHEN 3 THEN 'text' || chr(10) || p_size || ' LATE ROMAN' || chr(10) || 'CAPS 9 x' WHEN 4 THEN 'nothing' ELSE '1.2' || chr(10) || chr(10) || 'a' || p_size || 'b' END"""
 
 

@@ -224,18 +224,20 @@ _META = [
 _PAIRS = "q.p_partkey % 20 = 0 AND q.p_partkey <> r.p_partkey AND r.p_partkey BETWEEN q.p_partkey AND q.p_partkey + 19"
 
 
-def _metadata() -> Column:
-    """A part's metadata map; keys tell how sure its values are."""
-    k = "p_partkey"
+def _metadata(p: str) -> Column:
+    """The metadata map of a part, a struct; keys tell how sure its values are."""
+    k = f"{p}.p_partkey"
     entry = lambda value: f"struct({value} AS value, CASE WHEN {k} % 4 = 1 THEN 0.8D END AS reliability, CASE WHEN {k} % 5 = 0 THEN 4.0D END AS uncertainty, CASE WHEN {k} % 5 = 0 THEN 'ocr' ELSE 'hand' END AS source, {k} % 3 = 0 AS reviewed)"
-    return F.expr("map(" + ", ".join(f"'{n}', {entry(v.format(k=k, p=''))}" for n, _, _, _, v in _META) + ")")
+    return F.expr("map(" + ", ".join(f"'{n}', {entry(v.format(k=k, p=f'{p}.'))}" for n, _, _, _, v in _META) + ")")
 
 
 def compare_metadata(spark: SparkSession, d: str) -> DataFrame:
-    # Twenty neighbours by key: each query meets a bounded number of references.
-    p = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 20).alias("block"), _metadata().alias("meta"))
-    pairs = p.alias("q").where("q.p_partkey % 20 = 0").join(p.alias("r"), F.col("q.block") == F.col("r.block")).where(F.expr("q.p_partkey <> r.p_partkey"))
-    fields = pairs.select(F.col("q.p_partkey").alias("query_id"), F.col("r.p_partkey").alias("ref_id"), M.compare(F.col("q.meta"), F.col("r.meta")).alias("fields"))
+    # Twenty neighbours by key: each query meets a bounded number of references. Parts meet by a shuffle and get their
+    # maps, many times as large, as pairs: the planner takes the files' size for that of either side and would broadcast it.
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("block"), F.struct("p_partkey", "p_name", "p_brand", "p_size").alias("r"))
+    queries = p.where("r.p_partkey % 20 = 0").withColumnRenamed("r", "q")
+    pairs = queries.hint("merge").join(p, "block").where("q.p_partkey <> r.p_partkey").select("q", "r", _metadata("q").alias("a"), _metadata("r").alias("b"))
+    fields = pairs.select(F.col("q.p_partkey").alias("query_id"), F.col("r.p_partkey").alias("ref_id"), M.compare(F.col("a"), F.col("b")).alias("fields"))
     return fields.select("query_id", "ref_id", *[c.alias(n) for n, c in M.summary(F.col("fields")).items()])
 
 

@@ -137,34 +137,52 @@ def public_columns(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def unique_names(df: DataFrame, base: str, order: list[str], name: str = "name") -> DataFrame:
-    """A name for each row, in order: base, or base-2, base-3 ..., the first that no row before has but for case.
+    """A name for each row, in order: base, or base-2, base-3 ..., the first that no row before has but for case; null for a null base.
 
-    Numbered names can only clash with those of one root, base without its last numbers. Where no numbered name of a
-    root is some row's base, the numbers are ranks. The others' rows, of roots with a clash alone, are named one by one.
+    A name of a base x can only clash with those of rows whose base is x-k. Such a base keeps its name if its first row
+    comes before x gets to k, and x skips k then; otherwise all its rows are numbered. That is settled for the distinct
+    bases, one root (base without its last numbers) after the other; rows are only counted, in sorts of one base.
     """
-    n = F.row_number().over(W.partitionBy(F.lower(base)).orderBy(*order))
-    root = F.regexp_replace(F.lower(base), r"(-\d+)+$", "")
-    ranked = df.withColumns({"_n": n, "_root": root, "_at": F.struct(*order)}).withColumn(name, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_n").cast("string"))))
-    taken = df.select(F.lower(base).alias("_taken")).distinct()
-    clash = ranked.where("_n > 1").select("_root", F.lower(name).alias("_taken")).join(taken, "_taken", "left_semi").select("_root").distinct().withColumn("_clash", F.lit(True))
-    marked = ranked.join(clash, "_root", "left")
-    plain = marked.where(F.col("_clash").isNull())
-
-    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, names = set(), []
-        pdf = pdf.sort_values("_rank", kind="stable")
-        for b in pdf[base]:
-            own, k = b, 2
-            while own.lower() in seen:
-                own, k = f"{b}-{k}", k + 1
-            seen.add(own.lower())
-            names.append(own)
-        return pdf.assign(**{name: names})
-
-    columns = [*df.columns, name]
-    some = marked.where("_clash").withColumn("_rank", F.row_number().over(W.partitionBy("_root").orderBy("_at"))).select(*columns, "_root", "_rank")
-    named = some.groupBy("_root").applyInPandas(one_by_one, some.schema)
-    return plain.select(*columns).unionByName(named.select(*columns))
+    low, at = F.lower(base).alias("_low"), F.struct(*order, base).alias("_at")
+    keys = df.select(low, at).where("_low is not null")
+    first = keys.groupBy("_low").agg(F.min("_at").alias("_at"))
+    last = r"(?s)^(.*)-([1-9][0-9]{0,14})$"
+    numbered = first.select(F.regexp_extract("_low", last, 1).alias("_parent"), F.regexp_extract("_low", last, 2).try_cast("long").alias("_k"), F.col("_low").alias("_child"), "_at").where("_k >= 2")
+    edges = numbered.join(first.select(F.col("_low").alias("_parent")), "_parent", "left_semi")
+    # Of x's rows, those before the first row of x-k.
+    some = keys.join(edges.select(F.col("_parent").alias("_low")).distinct(), "_low", "left_semi").select(F.col("_low").alias("_parent"), "_at", F.lit(1).alias("_one"))
+    before = F.sum("_one").over(W.partitionBy("_parent").orderBy("_at", F.col("_one").desc()).rowsBetween(W.unboundedPreceding, 0))
+    met = some.unionByName(edges.withColumn("_one", F.lit(0)), allowMissingColumns=True).withColumn("_before", before).where("_one = 0")
+    root = F.regexp_replace("_parent", r"(-\d+)+$", "")
+    settled = met.select(root.alias("_root"), "_parent", "_k", "_child", "_before").groupBy("_root").applyInPandas(_settled, "_low string, _n long, _step int")
+
+    rows = df.withColumns({"_low": F.lower(base), "_n": F.row_number().over(W.partitionBy(F.lower(base)).orderBy(*order, base)).cast("long"), "_step": F.lit(None).cast("int")})
+    # Steps come before the row that they move; one of 0 says that the base's first row is numbered too.
+    steps = rows.unionByName(settled.withColumn("_is", F.lit(0)), allowMissingColumns=True).withColumn("_is", F.coalesce("_is", F.lit(1)))
+    so_far = W.partitionBy("_low").orderBy("_n", "_is").rowsBetween(W.unboundedPreceding, 0)
+    moved = steps.withColumns({"_moved": F.coalesce(F.sum("_step").over(so_far), F.lit(0)), "_all": F.coalesce(F.max(F.col("_step") == 0).over(so_far), F.lit(False))}).where("_is = 1")
+    number = F.col("_n") + F.col("_moved") + F.col("_all").cast("int")
+    own = (F.col("_n") == 1) & ~F.col("_all")
+    return moved.withColumn(name, F.when(own, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), number.cast("string")))).select(*df.columns, name)
+
+
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For a root's bases x-k: (x, n, 1) where x skips a number from its n-th row on, (x-k, 0, 0) where x has the name x-k."""
+    taken: set[str] = set()
+    out = []
+    pdf = pdf.assign(_long=pdf["_parent"].str.len()).sort_values(["_long", "_parent", "_k"])
+    parent, own, skipped = None, 1, 0
+    for x, k, child, before in zip(pdf["_parent"], pdf["_k"], pdf["_child"], pdf["_before"], strict=True):
+        if x != parent:
+            parent, own, skipped = x, int(x not in taken), 0
+        # x gets to k with the (k - 1 - skipped)-th of its numbered rows.
+        if max(before - own, 0) <= k - 2 - skipped:
+            skipped += 1
+            out.append((x, k - skipped + own, 1))
+        else:
+            taken.add(child)
+            out.append((child, 0, 0))
+    return pd.DataFrame(out, columns=["_low", "_n", "_step"])
 
 
 def split_with_donors(df: DataFrame, key: str, name: str = "part", least: int = 10) -> DataFrame:

@@ -30,7 +30,9 @@ def reconcile(found: DataFrame, prior: DataFrame, least: float = 0.5) -> DataFra
     none = F.lit(None)
     a = found.select("page", F.lit(1).alias("side"), F.col("ord").cast("long").alias("ord"), *SIDES, "confidence", none.cast("string").alias("status"), none.cast("string").alias("source"))
     b = prior.select("page", F.lit(0).alias("side"), F.col("vessel_id").cast("long").alias("ord"), *SIDES, none.cast("double").alias("confidence"), "status", "source")
-    both = a.unionByName(b).repartition("page").sortWithinPartitions("page", "side", "ord", *SIDES).select(*columns)
+    # Spark takes a union of sides dealt out by page as dealt out by page and drops another repartition by page, but then
+    # joins small partitions of one side only; by a struct of it, the rows do meet.
+    both = a.unionByName(b).repartition(F.struct("page")).sortWithinPartitions("page", "side", "ord", *SIDES).select(*columns)
     names = [c.split()[0] for c in _RECONCILED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

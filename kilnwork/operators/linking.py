@@ -151,8 +151,9 @@ def unique_names(df: DataFrame, base: str, order: list[str], name: str = "name")
     edges = numbered.join(first.select(F.col("_low").alias("_parent")), "_parent", "left_semi")
     # Of x's rows, those before the first row of x-k.
     some = keys.join(edges.select(F.col("_parent").alias("_low")).distinct(), "_low", "left_semi").select(F.col("_low").alias("_parent"), "_at", F.lit(1).alias("_one"))
-    before = F.sum("_one").over(W.partitionBy("_parent").orderBy("_at", F.col("_one").desc()).rowsBetween(W.unboundedPreceding, 0))
-    met = some.unionByName(edges.withColumn("_one", F.lit(0)), allowMissingColumns=True).withColumn("_before", before).where("_one = 0")
+    # Structs, as both sides are dealt out by _parent already: Spark would not deal out their union anew, but may have joined partitions of one side.
+    before = F.sum("_one").over(W.partitionBy("_by").orderBy("_at", F.col("_one").desc()).rowsBetween(W.unboundedPreceding, 0))
+    met = some.unionByName(edges.withColumn("_one", F.lit(0)), allowMissingColumns=True).withColumn("_by", F.struct("_parent")).withColumn("_before", before).where("_one = 0")
     root = F.regexp_replace("_parent", r"(-\d+)+$", "")
     settled = met.select(root.alias("_root"), "_parent", "_k", "_child", "_before").groupBy("_root").applyInPandas(_settled, "_low string, _n long, _step int")
 

@@ -102,6 +102,95 @@ def top_k(queries: DataFrame, refs: DataFrame, channels: list[Channel], keep: in
     return found.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
+def _near_variants(ids: np.ndarray, queries: np.ndarray, keep: int):
+    """Each partition's best ``keep`` ids of each query (queries: one of (n, variants, places)) by the least squared distance of any variants."""
+    n, variants, places = queries.shape
+    norms = (queries * queries).sum(axis=2)
+    # A product of these with (r, |r|^2, 1) is a squared distance but for its last digits.
+    sides = [np.concatenate([-2 * queries[:, v], np.ones((n, 1)), norms[:, v, None]], axis=1) for v in range(variants)]
+
+    def exact(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The least sum, place by place in order, of each pair of rows."""
+        best = np.full(len(q), np.inf)
+        for v in range(q.shape[1]):
+            for w in range(r.shape[1]):
+                total = np.zeros(len(q))
+                for i in range(places):
+                    d = q[:, v, i] - r[:, w, i]
+                    total += d * d
+                np.minimum(best, total, out=best)
+        return best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, far, near = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # places of queries, scores, ids
+        limit = np.full(n, np.inf)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, _CHUNK):
+                some = batch.slice(begin, _CHUNK)
+                own, refs = _few_of_equals(some.column(0).to_numpy(), _vectors(some.column(1)), keep)
+                refs = refs.reshape(len(own), -1, places)
+                squares = (refs * refs).sum(axis=2)
+                about = np.full((n, len(own)), np.inf)
+                for w in range(refs.shape[1]):
+                    other = np.concatenate([refs[:, w], squares[:, w, None], np.ones((len(own), 1))], axis=1).T
+                    for side in sides:
+                        np.minimum(about, side @ other, out=about)
+                slack = 1e-12 * (norms.max(axis=1) + squares.max())
+                # So many rows have keep ids besides the query's own.
+                most = (keep + 1) * int(np.unique(own, return_counts=True)[1].max())
+                bound = np.minimum(limit, np.partition(about, most - 1, axis=1)[:, most - 1]) if most < len(own) else limit
+                i, k = np.nonzero((about <= (bound + slack)[:, None]) & (ids[:, None] != own[None, :]))
+                score = np.concatenate([exact(queries[i[x : x + _CHUNK]], refs[k[x : x + _CHUNK]]) for x in range(0, len(i), _CHUNK)] or [np.zeros(0)])
+                at, far, near = np.concatenate([at, i]), np.concatenate([far, score]), np.concatenate([near, own[k]])
+                order = np.lexsort((far, near, at))
+                at, far, near = at[order], far[order], near[order]
+                first = np.r_[True, (at[1:] != at[:-1]) | (near[1:] != near[:-1])][: len(at)]
+                at, far, near = at[first], far[first], near[first]
+                order = np.lexsort((near, far, at))
+                at, far, near = at[order], far[order], near[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, far, near, place = (x[place < keep] for x in (at, far, near, place))
+                limit[at[place == keep - 1]] = far[place == keep - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(near), pa.array(far)], ["query_id", "ref_id", "score"])
+
+    return run
+
+
+#: Rows of references that are compared at once.
+_CHUNK = 1024
+
+
+def _few_of_equals(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors, those of the ``keep`` + 1 smallest ids: one more than can be found, as one can be the query."""
+    same = np.unique((vectors + 0.0).view(f"V{vectors.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    order = order[np.r_[True, (same[order][1:] != same[order][:-1]) | (ids[order][1:] != ids[order][:-1])]]
+    place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+    order = order[place <= keep]
+    return ids[order], vectors[order]
+
+
+def near_variants(queries: DataFrame, refs: DataFrame, keep: int) -> DataFrame:
+    """(query_id, ref_id, score): at least the best ``keep`` other references of each query by (score, id), the least
+    squared distance of any two variants.
+
+    Both have an id and an array of variants, arrays of one length; no null, and finite numbers of about one size, as
+    distances come from products first and are summed place by place where they could be among the best. Partitions send
+    on at most ``keep`` rows for each row of ``queries``, in blocks of MOST_QUERIES.
+    """
+    id_, variants = refs.columns
+    flat = refs.select(F.col(id_).cast("long"), F.flatten(variants))
+    parts, some = [], []
+    rows = list(queries.toLocalIterator())
+    for begin in range(0, len(rows), MOST_QUERIES):
+        some = rows[begin : begin + MOST_QUERIES]
+        parts.append(flat.mapInArrow(_near_variants(np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], float), keep), "query_id long, ref_id long, score double"))
+    found = parts[0] if parts else refs.sparkSession.createDataFrame([], "query_id long, ref_id long, score double")
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
 def _counts(block: _Queries, channels: list[Channel], wanted: dict[int, list[tuple[int, list[float]]]]):
     """How many references are better than each candidate in each channel, a partition's part."""
 

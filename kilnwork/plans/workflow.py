@@ -12,6 +12,7 @@ from kilnwork.functions import boxes as B
 from kilnwork.operators import curation as C
 from kilnwork.operators import detections as D
 from kilnwork.operators import linking as L
+from kilnwork.operators import retrieval as R
 from kilnwork.operators import sets as Q
 from kilnwork.operators import tables as T
 from kilnwork.session import shared_folder
@@ -245,14 +246,21 @@ SELECT query_id, ref_id, round(rmsd, 6) AS rmsd FROM p QUALIFY row_number() OVER
 
 def variant_scan(spark: SparkSession, d: str) -> DataFrame:
     """Each query's five nearest references, by the least squared distance of any of its two variants and their three."""
-    e = table(spark, d, "embeddings")
     part = lambda a: F.transform(F.slice("embedding", a, 16), lambda v: v.cast("double"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(part(1), part(17))).alias("q"))
-    r = e.select(F.col("vec_id").alias("ref_id"), F.col("label"), F.explode(F.array(part(1), part(17), part(33))).alias("r"))
+    # Vectors with what has no distance, or too short, go a plainer way, in which missing numbers don't count.
+    whole = F.coalesce((F.size("embedding") >= 48) & F.forall(F.slice("embedding", 1, 48), lambda v: v.isNotNull() & (F.abs(v) < 1e30)), F.lit(False))
+    e = table(spark, d, "embeddings").where("vec_id is not null").select("vec_id", whole.alias("whole"), part(1).alias("a"), part(17).alias("b"), part(33).alias("c"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.array("a", "b").alias("q"), "whole")
+    r = e.select(F.col("vec_id").alias("ref_id"), F.array("a", "b", "c").alias("r"), F.col("whole").alias("usual"))
+    near = R.near_variants(q.where("whole").drop("whole"), r.where("usual").drop("usual"), 5)
+    pairs = r.where("NOT usual").join(F.broadcast(q)).unionByName(r.where("usual").join(F.broadcast(q.where("NOT whole")))).where("query_id <> ref_id")
+    squares = lambda x, y: F.filter(F.zip_with(x, y, lambda v, w: (v - w) * (v - w)), lambda s: s.isNotNull())
+    total = lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda t, v: t + v))
+    gap = F.array_min(F.flatten(F.transform("q", lambda x: F.transform("r", lambda y: total(squares(x, y))))))
+    best = near.unionByName(pairs.select("query_id", "ref_id", gap.alias("score"))).groupBy("query_id", "ref_id").agg(F.min("score").alias("score"))
     # The queries, a stated set, go to every task; ranks are cut before they are dealt out.
-    gap = F.aggregate(F.zip_with("q", "r", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    best = r.join(F.broadcast(q)).groupBy("query_id", "ref_id").agg(F.min(gap).alias("score")).where("query_id <> ref_id")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "ref_id")).cast("long")).where("rank <= 5").select("query_id", "ref_id", "rank", F.round("score", 6).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").asc_nulls_last(), "ref_id")).cast("long")
+    return best.withColumn("rank", rank).where("rank <= 5").select("query_id", "ref_id", "rank", F.round("score", 6).alias("score"))
 
 
 VARIANT_SCAN = """

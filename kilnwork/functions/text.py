@@ -62,15 +62,16 @@ def caption(c: Column) -> Column:
     )
 
 
-def printed_page(c: Column, edge: int = 6) -> Column:
+def printed_page(c: Column, edge: int = 6, digits: int | None = 4) -> Column:
     """The printed page number among a page's first and last lines: the first bare number, else the first line of capitals
-    with a number, else the first number of up to four digits that is no part of another."""
+    with a number, else the first that is no part of another. Numbers have up to ``digits`` digits; None: any."""
+    number = rf"\d{{1,{digits or ''}}}"
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(lines)
     edges = F.concat(F.slice(lines, 1, edge), F.slice(lines, F.greatest(n - edge + 1, F.lit(1)), edge))
-    bare = F.filter(edges, lambda x: x.rlike(r"^\d{1,4}$"))
-    heads = F.filter(F.transform(edges, lambda x: F.concat(F.regexp_extract(x, r"^[A-Z][A-Z ]{2,}\s+(\d{1,4})$", 1), F.regexp_extract(x, r"^(\d{1,4})\s+[A-Z][A-Z ]{2,}$", 1))), lambda x: x != "")
-    some = F.flatten(F.transform(edges, lambda x: F.regexp_extract_all(x, F.lit(r"(?<![.\d])(\d{1,4})(?![.\d])"), 1)))
+    bare = F.filter(edges, lambda x: x.rlike(rf"^{number}$"))
+    heads = F.filter(F.transform(edges, lambda x: F.concat(F.regexp_extract(x, rf"^[A-Z][A-Z ]{{2,}}\s+({number})$", 1), F.regexp_extract(x, rf"^({number})\s+[A-Z][A-Z ]{{2,}}$", 1))), lambda x: x != "")
+    some = F.flatten(F.transform(edges, lambda x: F.regexp_extract_all(x, F.lit(rf"(?<![.\d])({number})(?![.\d])"), 1)))
     return F.coalesce(F.get(bare, 0), F.get(heads, 0), F.get(some, 0), F.lit(""))
 
 

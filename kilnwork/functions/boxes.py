@@ -85,8 +85,9 @@ def dct(signal: Column, n: int, harmonics: int) -> Column:
     """The first coefficients of the orthonormal DCT-II of an array of n numbers."""
     out = []
     for k in range(harmonics):
-        basis = F.lit([math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi / n * (i + 0.5) * k) for i in range(n)]).cast("array<double>")
-        out.append(F.aggregate(F.zip_with(F.transform(signal, lambda x: x.cast("double")), basis, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+        basis = F.lit([math.cos(math.pi / n * (i + 0.5) * k) for i in range(n)]).cast("array<double>")
+        total = F.aggregate(F.zip_with(F.transform(signal, lambda x: x.cast("double")), basis, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        out.append(math.sqrt((1 if k == 0 else 2) / n) * total)
     return F.array(*out)
 
 

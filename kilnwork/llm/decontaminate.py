@@ -237,7 +237,9 @@ def _found(rows: DataFrame, keep: list[str], benchmark: DataFrame, most_broadcas
     """The ``keep`` columns and the overlaps' of ``rows`` (keep, h1 and h2, which tell texts apart, and text)."""
     bounded_batches(rows.sparkSession)
     bench = Benchmark(benchmark)
-    sighted = stored(rows.select("h1", "h2", "text").mapInArrow(_sighted(bench.sent), "h1 long, h2 long, hits array<struct<seed:long,place:int>>"), "sighted")
+    sighted = rows.select("h1", "h2", "text").mapInArrow(_sighted(bench.sent), "h1 long, h2 long, hits array<struct<seed:long,place:int>>")
+    # The join with a broadcast benchmark reads the hits once, as they come; a shuffled one reads them twice.
+    sighted = stored(sighted, "sighted") if bench.n_seeds > most_broadcast else sighted
     hits = sighted.select("h1", "h2", F.explode("hits").alias("h")).select("h1", "h2", "h.seed", "h.place")
     # Copies of a text add to each other's hits: more diagonals are compared, none fewer.
     diagonals = (

@@ -131,3 +131,16 @@ def test_shuffled_benchmark_and_hot_seeds(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
     clean = de.without_overlaps(table, bench, most_broadcast=10, hot=3)
     assert clean.columns == table.columns and clean.count() == sum((d, t) not in {(d, t) for d, t in docs if d in {e[0] for e in expected}} for d, t in docs)
+
+
+def test_hits_are_written_only_where_they_are_read_twice(spark, monkeypatch):
+    docs, items = corpus()
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    written, stored = [], de.stored
+    monkeypatch.setattr(de, "stored", lambda df, name: written.append(name) or stored(df, name))
+    expected = sorted(map(repr, brute(docs, items)))
+    assert sorted(repr(tuple(r)) for r in de.overlaps(table, bench).collect()) == expected
+    assert written == ["items", "candidates"]
+    written.clear()
+    assert sorted(repr(tuple(r)) for r in de.overlaps(table, bench, most_broadcast=10, hot=3).collect()) == expected
+    assert written == ["items", "sighted", "often", "candidates"]
